@@ -100,5 +100,6 @@ def dense_sums(df: DataFrame, key: Column, weight: Column | None = None) -> Data
     """
     cols = [key.cast("string").alias("k")] + ([F.coalesce(weight.cast("long"), F.lit(0)).alias("w")] if weight is not None else [])
     parts = shuffle_partitions(df.sparkSession)
-    blocks = df.select(*cols).where(F.col("k").isNotNull()).mapInArrow(_split(parts), BLOCKS)
+    # more parts of the key space than tasks, so that tasks get about as many each
+    blocks = df.select(*cols).where(F.col("k").isNotNull()).mapInArrow(_split(4 * parts), BLOCKS)
     return blocks.repartition(parts, "block").mapInArrow(_reduce, "key string, total bigint")
