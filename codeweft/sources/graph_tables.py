@@ -62,3 +62,13 @@ def newest_build(build_meta: DataFrame) -> DataFrame:
     return build_meta.groupBy("repo_path").agg(
         F.max_by(F.struct(F.nullif(F.trim("last_commit"), F.lit("")).alias("c")), F.struct(F.coalesce("last_build_at", F.lit(-1)), F.coalesce("last_commit", F.lit("")))).getField("c").alias("last_commit")
     )
+
+
+def one_summary(summaries: DataFrame) -> DataFrame:
+    """One row per (repo_path, node_id, level): one that is not stale before one that is, then the greatest hash, summary, model."""
+    rest = ["hash", "summary", "model", "stale"]
+    return (
+        summaries.groupBy("repo_path", "node_id", "level")
+        .agg(F.max_by(F.struct(*rest), F.struct(-F.col("stale"), "hash", "summary", "model")).alias("v"))
+        .select("repo_path", "node_id", "level", *[F.col(f"v.{x}").alias(x) for x in rest])
+    )
