@@ -102,9 +102,9 @@ def plural(word) -> Column:
 
 
 def join_path(base, path) -> Column:
-    """Routes with a leading slash; a single slash where both parts are empty."""
-    p = F.concat_ws("/", F.nullif(F.regexp_replace(c(base), "^/+|/+$", ""), F.lit("")), F.nullif(F.regexp_replace(c(path), "^/+", ""), F.lit("")))
-    return F.concat(F.lit("/"), p)
+    """A class's route and a method's: one slash between them; a single slash where both are empty."""
+    b, p = F.regexp_replace(c(base), "/$", ""), c(path)
+    return F.when(p == "", F.coalesce(F.nullif(b, F.lit("")), F.lit("/"))).otherwise(F.concat(b, F.when(F.startswith(p, F.lit("/")), "").otherwise("/"), p))
 
 
 def join_route(base, path) -> Column:
