@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import columns as X
 from codeweft.operators.graph import R
+from codeweft.runtime import spread
 
 # Tags of rationale comments, declarations that documentation can precede.
 _TAGGED = re.compile(r"(NOTE|WHY|HACK|TODO|FIXME|WARNING):\s*(.*)", re.ASCII)
@@ -111,8 +112,8 @@ def _rationale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract_rationale(source_files: DataFrame) -> DataFrame:
     """Rationale nodes of files (repo_path, file, content), each id once; files without content give none."""
-    rows = source_files.where("content is not null and file is not null").select(R, "file", "content").dropDuplicates([R, "file"])
-    return rows.mapInPandas(_rationale, RATIONALE).dropDuplicates([R, "id"])
+    rows = source_files.where("content is not null and file is not null").select(R, "file", "content")
+    return spread(rows).mapInPandas(_rationale, RATIONALE).dropDuplicates([R, "id"])
 
 
 def nearest_entity(comments: DataFrame, entities: DataFrame) -> DataFrame:

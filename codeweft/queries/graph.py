@@ -16,8 +16,10 @@ TARGET = "auth"
 
 
 def g(s: SparkSession, d: str, fixed: bool = False) -> PropertyGraph:
-    out = PropertyGraph.of(table(s, d, "nodes"), table(s, d, "edges"))
-    return PropertyGraph(cut(out.nodes), cut(out.edges)) if fixed else out
+    if not fixed:
+        return PropertyGraph.of(table(s, d, "nodes"), table(s, d, "edges"))
+    n = cut(nodes_of(s, d))
+    return PropertyGraph(n, cut(graph.with_both_ends(graph.distinct_edges(table(s, d, "edges")), n)))
 
 
 def nodes_of(s: SparkSession, d: str) -> DataFrame:
@@ -60,17 +62,17 @@ def community_sizes(s, d): return members(nodes_of(s, d)).groupBy(R, "community"
 
 
 def community_labels(s, d):
-    n = nodes_of(s, d)
-    return analytics.labels(n, members(n))
+    n = cut(nodes_of(s, d))
+    return analytics.labels(n, cut(members(n)))
 
 
 def cross_edges(s, d):
-    x = g(s, d)
+    x = g(s, d, True)
     return analytics.crossing_edges(x, members(x.nodes)).select(R, "id", "src_community", "dst_community", "pair_count")
 
 
 def surprising_connections(s, d):
-    x = g(s, d)
+    x = g(s, d, True)
     return analytics.surprises(x, members(x.nodes)).select(R, "rank", "id", "pair_count")
 
 

@@ -70,3 +70,14 @@ def month_no(ts_seconds: Column) -> Column:
     """Months since year 0 in UTC of unix seconds."""
     day = F.date_from_unix_date(F.floor(ts_seconds / F.lit(86_400)).cast("int"))
     return (F.year(day) * 12 + F.month(day) - 1).cast("int")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For costly Python stages: rows over all cores where the scan has fewer splits than there are cores.
+
+    Large inputs have more splits than cores and are left alone, so no text is moved there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
