@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.lexing import language_of, normalise, scan
+from codeweft.runtime import spread
 
 LANGUAGES = ("python", "go", "java", "typescript", "javascript")
 
@@ -143,7 +144,7 @@ class NameModel:
 
 def train(source_files: DataFrame) -> dict[str, NameModel]:
     """Models from all files. At most 32^3 trigrams for each of five languages reach the driver."""
-    rows = _texts(source_files).select("file", "language", "content").mapInPandas(_ngrams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+    rows = spread(_texts(source_files).select("file", "language", "content")).mapInPandas(_ngrams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     return {lang: NameModel({r.gram: r.n for r in rows if r.lang == lang}) for lang in LANGUAGES}
 
 
@@ -208,4 +209,4 @@ def code_provenance(source_files: DataFrame) -> DataFrame:
     """
     rows = _texts(source_files).select("file_id", "repo_path", "file", "language", "content")
     models = source_files.sparkSession.sparkContext.broadcast(train(source_files))
-    return rows.mapInPandas(_judge(models), OUT).dropDuplicates(["file_id"])
+    return spread(rows).mapInPandas(_judge(models), OUT).dropDuplicates(["file_id"])

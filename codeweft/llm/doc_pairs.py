@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 
 from codeweft.functions.declarations import Function, functions
 from codeweft.functions.lexing import Token, language_of, normalise, scan
+from codeweft.runtime import spread
 
 REJECT = 10.0
 #: Different words a description must keep.
@@ -266,5 +267,5 @@ def doc_pairs(source_files: DataFrame) -> DataFrame:
     Null contents, unknown languages and rows without file_id give nothing; copies of a row count once; whole texts are
     read, whatever their length; a file that does not parse gives what could be read. Extra columns are ignored.
     """
-    rows = source_files.where("content is not null and file_id is not null").select("file_id", "file", "language", "content").dropDuplicates(["file_id", "content"])
-    return rows.mapInPandas(_files, OUT).dropDuplicates(["file_id", "line_no", "func_name"])
+    rows = source_files.where("content is not null and file_id is not null").select("file_id", "file", "language", "content")
+    return spread(rows).mapInPandas(_files, OUT).dropDuplicates(["file_id", "line_no", "func_name"])

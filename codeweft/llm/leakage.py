@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.runtime import spread
+
 #: Consecutive words from which a passage counts.
 LEAST_RUN = 12
 #: Share of a document's words in leaked spans from which the whole document is dropped.
@@ -203,7 +205,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST_RUN) -
     is there twice counts once. The documents never move: there is no shuffle.
     """
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    return docs.mapInPandas(_matching(_automata(eval_items, least)), OUT)
+    return spread(docs).mapInPandas(_matching(_automata(eval_items, least)), OUT)
 
 
 def leak_pairs(documents: DataFrame, eval_items: DataFrame, least: int = LEAST_RUN) -> DataFrame:
@@ -213,4 +215,4 @@ def leak_pairs(documents: DataFrame, eval_items: DataFrame, least: int = LEAST_R
 
 def remove_leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST_RUN, drop_share: float = DROP_SHARE) -> DataFrame:
     """Every document row with its leaked spans cut out; ``dropped`` and a null text where they exceed ``drop_share``."""
-    return documents.select("doc_id", "text").mapInPandas(_cleaning(_automata(eval_items, least), drop_share), CLEAN)
+    return spread(documents.select("doc_id", "text")).mapInPandas(_cleaning(_automata(eval_items, least), drop_share), CLEAN)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm.text_quality import STATS, statistics
-from codeweft.runtime import cut, shuffle_partitions
+from codeweft.runtime import cut, shuffle_partitions, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Weight of a document without running text; one that is all running text has 1.
@@ -55,7 +55,7 @@ def sized(documents: DataFrame, tokenizer_path: str = TOKENIZER, seed: int = 42)
     rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", canonical_source(F.col("source")).alias("source"), "text").where(F.col("source").isNotNull())
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(2**53)
     return (
-        rows.mapInPandas(_size(tokenizer), "doc_id bigint, source string, tokens bigint, weight double")
+        spread(rows).mapInPandas(_size(tokenizer), "doc_id bigint, source string, tokens bigint, weight double")
         .where("tokens > 0")
         .select("doc_id", "source", "tokens", (-F.log(u) / F.col("weight")).alias("key"))
         .dropDuplicates(["doc_id"])

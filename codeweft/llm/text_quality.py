@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from codeweft.runtime import spread
+
 #: Common words of the corpus languages. Fixed values.
 COMMON = frozenset(
     "the a an and or of to in is are was were be been it its that this these those for on with as by at from not but no which who what when where how has have had do does did can could may might will would shall should must "
@@ -189,4 +191,4 @@ def text_quality(documents: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have zero statistics and ``is_prose`` false; repeated rows stay; other columns are ignored.
     """
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(_documents, OUT)
+    return spread(documents.where("doc_id is not null").select("doc_id", "text")).mapInPandas(_documents, OUT)
