@@ -28,8 +28,8 @@ def pair_weights(g: PropertyGraph) -> DataFrame:
 def louvain_kernel(pairs: pd.DataFrame, resolution: float = model.RESOLUTION, rounds: int = model.LOUVAIN_ROUNDS) -> dict[str, int]:
     """Sequential modularity optimisation of one graph: columns a, b, weight. Nodes in id order, ties stay, then lowest.
 
-    The weight inside an aggregated node does not count towards its strength on the next level (the total stays that
-    of the base graph), which is the behaviour this kernel has to reproduce.
+    A merged node's strength is made of the links of the level it was merged on, those inside it included; links that
+    went inside on earlier levels no longer count, which is the behaviour this kernel has to reproduce.
     """
     ids = sorted(set(pairs["a"]) | set(pairs["b"]))
     at = {x: k for k, x in enumerate(ids)}
@@ -70,14 +70,16 @@ def louvain_kernel(pairs: pd.DataFrame, resolution: float = model.RESOLUTION, ro
         if len(names) == len(links):
             break
         merged: list[dict[int, float]] = [{} for _ in names]
+        strength = [0.0] * len(names)
         for v, own in enumerate(links):
             a = names[home[v]]
+            strength[a] += sum(own.values())
             for u, w in own.items():
                 b = names[home[u]]
                 if a != b:
                     merged[a][b] = merged[a].get(b, 0.0) + w
         owner = [names[home[o]] for o in owner]
-        links, strength = merged, [sum(x.values()) for x in merged]
+        links = merged
     return dict(zip(ids, owner))
 
 
