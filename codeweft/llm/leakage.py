@@ -137,7 +137,7 @@ def build(items: list[tuple[int, str]], least: int = LEAST_RUN) -> list[SuffixAu
 
 
 OUT = "doc_id bigint, n_words int, leaked_words int, items array<struct<item_id:bigint,longest:int,start_char:int,end_char:int>>"
-CLEAN = "doc_id bigint, n_words int, leaked_words int, dropped boolean, text string"
+CLEAN = "doc_id string, n_words int, leaked_words int, dropped boolean, text string"
 
 
 def _runs(text: str, automata: list[SuffixAutomaton]) -> tuple[list[re.Match], dict[int, tuple[int, int, int]], np.ndarray]:
@@ -187,7 +187,7 @@ def _cleaning(automata, drop_share: float):
                         last = at[e - 1].end()
                     text = "".join([*parts, text[last:]])
                 rows.append((doc, len(at), n, dropped, None if dropped else text))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "leaked_words", "dropped", "text"]).astype({"doc_id": "int64", "n_words": "int32", "leaked_words": "int32", "dropped": bool, "text": object})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "leaked_words", "dropped", "text"]).astype({"n_words": "int32", "leaked_words": "int32", "dropped": bool, "text": object})
 
     return run
 
@@ -215,4 +215,6 @@ def leak_pairs(documents: DataFrame, eval_items: DataFrame, least: int = LEAST_R
 
 def remove_leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST_RUN, drop_share: float = DROP_SHARE) -> DataFrame:
     """Every document row with its leaked spans cut out; ``dropped`` and a null text where they exceed ``drop_share``."""
-    return spread(documents.select("doc_id", "text")).mapInPandas(_cleaning(_automata(eval_items, least), drop_share), CLEAN)
+    # as text, since a batch with a null would turn whole numbers into floating ones
+    rows = spread(documents.select(F.col("doc_id").cast("string"), "text"))
+    return rows.mapInPandas(_cleaning(_automata(eval_items, least), drop_share), CLEAN).withColumn("doc_id", F.col("doc_id").cast("bigint"))

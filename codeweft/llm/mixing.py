@@ -23,9 +23,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 LEAST_WEIGHT = 0.1
 
 
-def canonical_source(c: Column) -> Column:
+def canonical_source(c: Column | str) -> Column:
     """Spelling in lower case with single underscores; blank as null."""
-    return F.nullif(F.trim(F.regexp_replace(F.lower(F.trim(c)), r"[^\p{L}\p{N}]+", "_"), F.lit("_")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(F.lower(F.trim(F.col(c) if isinstance(c, str) else c)), r"[^\p{L}\p{N}]+", "_"), F.lit("_")), F.lit(""))
 
 
 def _size(tokenizer):
