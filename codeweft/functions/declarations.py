@@ -17,10 +17,13 @@ class Function:
     params: tuple[str, ...] = ()
 
 
+_BRACKET = re.compile(r"[()\[\]{}]")
+
+
 def close_of(code: str, at: int) -> int:
     """Offset of the bracket that closes the one at ``at``; the end of the text if none does."""
     depth = 0
-    for m in re.compile(r"[()\[\]{}]").finditer(code, at):
+    for m in _BRACKET.finditer(code, at):
         depth += 1 if m.group() in "([{" else -1
         if depth <= 0:
             return m.start()
