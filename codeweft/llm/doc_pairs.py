@@ -89,9 +89,9 @@ def _candidates(f: Function, comments: list[Comment], starts: list[int], strings
             break
     if language == "python":
         at = f.end
-        while m := re.compile(r"(?:[ \t\n]|\\\n)*#[^\n]*").match(text, at):
+        while m := _REMARK.match(text, at):
             at = m.end()
-        at += len(re.match(r"(?:[ \t\n]|\\\n)*", text[at:]).group())
+        at = _BLANKS.match(text, at).end()
         if (t := strings.get(at)) and _DOCSTRING.match(text, at):
             yield Comment([t], t.start, t.end, "docstring"), 0.0
 
@@ -142,6 +142,8 @@ _NOTE = re.compile(r"^(?:NOTE|WHY|HACK|TODO|FIXME|WARNING)\b")
 _DIRECTIVE = re.compile(r"^(?:go:\w|nolint\b|lint:|noqa\b|pylint:|type:\s*ignore|mypy:|eslint\b|eslint-|tslint:|prettier-ignore|@ts-|ts-ignore|istanbul\b|c8\b|nosec\b|fmt:\s*(?:off|on)|isort:|pragma\b|#pragma|\+build\b|export\s+\w+$|@formatter:|checkstyle:|NOSONAR|noinspection\b|spell-?checker:|cspell:|region\b|endregion\b)", re.I)
 _SECTION = re.compile(r"^(?:Args|Arguments|Parameters|Params|Returns?|Raises|Yields|Throws)\s*:\s*$")
 _SECTION_RULE = re.compile(r"^-{3,}\s*$")
+_IDENTIFIER = re.compile(r"[\w$]+")
+_REMARK, _BLANKS, _INLINE_TAG = re.compile(r"(?:[ \t\n]|\\\n)*#[^\n]*"), re.compile(r"(?:[ \t\n]|\\\n)*"), re.compile(r"\{@\w+\s*([^}]*)\}")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
@@ -179,7 +181,7 @@ def informative(plain: str) -> str:
         if not line or _TAG.match(line) or _NOTE.match(line) or _DIRECTIVE.match(line):
             continue
         kept.append(line)
-    return re.sub(r"\{@\w+\s*([^}]*)\}", r"\1", "\n".join(kept))
+    return _INLINE_TAG.sub(r"\1", "\n".join(kept))
 
 
 def name_parts(name: str) -> set[str]:
@@ -188,9 +190,7 @@ def name_parts(name: str) -> set[str]:
 
 
 def words_left(plain: str, name: str) -> int:
-    own = name_parts(name)
-    text = re.sub(r"\b" + re.escape(name) + r"\b", " ", informative(plain))
-    return len({w.lower() for w in _WORD.findall(text)} - own - {"inheritdoc"})
+    return len(set(_WORD.findall(informative(plain).lower())) - name_parts(name) - {"inheritdoc"})
 
 
 def pairs(content: str, language: str) -> list[Pair]:
@@ -211,7 +211,7 @@ def pairs(content: str, language: str) -> list[Pair]:
             tags = set(_TAG_NAME.findall(plain))
             own = set(f.params)
             cost += 0.4 * len(tags - own) / len(tags) - 0.4 * len(tags & own) / len(tags) if tags else 0
-            cost -= 0.5 if re.search(r"\b" + re.escape(f.name) + r"\b", plain) else 0.1 * (len(name_parts(f.name) & {w.lower() for w in _WORD.findall(plain)}) > 0)
+            cost -= 0.5 if f.name in _IDENTIFIER.findall(plain) else 0.1 * (not name_parts(f.name).isdisjoint(_WORD.findall(plain.lower())))
             edges.append((i, c, cost))
     parent: dict = {}
 
