@@ -15,11 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.llm.text_quality import STATS, statistics
 from codeweft.runtime import cut, shuffle_partitions, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: Weight of a document without running text; one that is all running text has 1.
+#: Weight of a document without letters; one that is all letters has 1.
 LEAST_WEIGHT = 0.1
 
 
@@ -29,8 +28,6 @@ def canonical_source(c: Column | str) -> Column:
 
 
 def _size(tokenizer):
-    share = [n for n, _ in STATS].index("prose_share")
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -41,18 +38,25 @@ def _size(tokenizer):
             texts = [x or "" for x in b["text"]]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "source": b["source"],
-                "tokens": [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)],
-                "weight": [max(LEAST_WEIGHT, min(1.0, statistics(x)[share])) for x in texts],
+                "tokens": [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)], "weight": b["weight"],
             })
 
     return run
 
 
+def quality_weight(text: Column | str) -> Column:
+    """Squared share of letters among what is not blank: low for tables, logs, dumps and noise. Null texts have the least."""
+    c = F.col(text) if isinstance(text, str) else text
+    solid = F.length(F.regexp_replace(c, r"\s+", ""))
+    share = F.length(F.regexp_replace(c, r"[^\p{L}]+", "")) / F.nullif(solid, F.lit(0))
+    return F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(share * share, F.lit(0.0)))
+
+
 def sized(documents: DataFrame, tokenizer_path: str = TOKENIZER, seed: int = 42) -> DataFrame:
     """(doc_id, source, tokens, key) of every document with an id, a source and at least one token, each once."""
     with open(tokenizer_path, "rb") as f:
         tokenizer = documents.sparkSession.sparkContext.broadcast(f.read())
-    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", canonical_source(F.col("source")).alias("source"), "text").where(F.col("source").isNotNull())
+    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", canonical_source(F.col("source")).alias("source"), "text", quality_weight("text").alias("weight")).where(F.col("source").isNotNull())
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(2**53)
     return (
         spread(rows).mapInPandas(_size(tokenizer), "doc_id bigint, source string, tokens bigint, weight double")
