@@ -31,22 +31,25 @@ _DRAWN = re.compile(r"^[\s]*(?:[│├└┌─┬┴┼|+`\\][\s─│├└|+\
 _RULE = re.compile(r"^[\s\W_]+$")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _SENTENCE_END = re.compile(r"[^\W\d_]{2,}[\"')\]]*[.!?…]+[\"')\]]*(?=\s|$)")
+_GAP, _MARKED, _LETTERS, _DIGITS, _WORDS_TOGETHER, _TELLING = (re.compile(x) for x in (r"(?<=\S) {2,}(?=\S)", r"\d|_|[^\s\w.,'’]", r"[^\W\d_]+", r"\d+", r"a(?:[ _]a)+", r"[^\sa.,'’]"))
+_GLUED = re.compile(r"[\w)]+[:(/\\=]\w")
 _LETTER = re.compile(r"[^\W\d_]")
-_NOT_LETTERS, _NOT_SYMBOLS, _NOT_DIGITS = re.compile(r"[\W\d_]+"), re.compile(r"(?:[^\W_]|\s)+"), re.compile(r"\D+")
+_NOT_LETTERS, _NOT_SYMBOLS, _NOT_DIGITS = re.compile(r"[\W\d_]+"), re.compile(r"[\w\s]+"), re.compile(r"\D+")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _DELIMITERS = "|\t;,=:"
 
 
 def _signature(line: str) -> tuple:
     """How often each delimiter stands in a line, and where wide gaps end."""
-    return tuple(line.count(d) for d in _DELIMITERS), tuple(m.end() for m in re.finditer(r"(?<=\S) {2,}(?=\S)", line))
+    return tuple(line.count(d) for d in _DELIMITERS), tuple(m.end() for m in _GAP.finditer(line)) if "  " in line else ()
 
 
 def _shape(line: str) -> str:
     """A line's outline: digits as 9, letters as a, kept marks; only outlines with marks or digits tell anything."""
-    s = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", line.strip()))
-    s = re.sub(r"a(?:[ _]a)+", "a", s)[:24]
-    return s if re.search(r"[^\sa.,'’]", s[:-1]) else ""
+    if not _MARKED.search(line):
+        return ""
+    s = _WORDS_TOGETHER.sub("a", _LETTERS.sub("a", _DIGITS.sub("9", line.strip())))[:24]
+    return s if _TELLING.search(s[:-1]) else ""
 
 
 def _autocorrelation(x: np.ndarray, lags: int = 4) -> float:
@@ -63,7 +66,7 @@ def _autocorrelation(x: np.ndarray, lags: int = 4) -> float:
 def _running(text: str) -> bool:
     """Whether a stretch of text reads as sentences."""
     tokens = text.split()
-    words = [w for t in tokens if (w := t.strip(".,;:!?\"'()[]{}*_`…“”«»¿¡").lower()) and (w.isalpha() or _LETTER.search(w))]
+    words = [w for t in text.lower().split() if (w := t.strip(".,;:!?\"'()[]{}*_`…“”«»¿¡")) and (w.isalpha() or _LETTER.search(w))]
     if len(words) < 4:
         return False
     solid = sum(map(len, tokens))
@@ -98,7 +101,7 @@ def statistics(text: str | None) -> tuple:
     raw = [x.rstrip() for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
     lines = [x for x in raw if x.strip()]
     n = len(lines)
-    words = [w.lower() for w in _WORD.findall(text)]
+    words = _WORD.findall(text.lower())
 
     # table: the same delimiters, or the same gaps, as the line before or after
     signs = [_signature(x) for x in lines]
@@ -152,7 +155,7 @@ def statistics(text: str | None) -> tuple:
             block.append(_BULLET.sub("", x))
             continue
         # a row or record only counts as one if it does not read as a sentence by itself
-        if (table[j] or shaped[j]) and not (_running(x) and len(x.split()) >= 7 and not re.search(r"[\w)]+[:(/\\=]\w", x)):
+        if (table[j] or shaped[j]) and not (_running(x) and len(x.split()) >= 7 and not _GLUED.search(x)):
             prose += close()
             continue
         block.append(x.strip())
@@ -163,7 +166,7 @@ def statistics(text: str | None) -> tuple:
     length_ac = _autocorrelation(lengths)
     indent_ac = _autocorrelation(indents) if indents.any() else 0.0
     share = prose / solid_chars
-    symbols = len(_NOT_SYMBOLS.sub("", text)) / solid_chars
+    symbols = (len(_NOT_SYMBOLS.sub("", text)) + text.count("_")) / solid_chars
     punctuated = sum(x.rstrip("\"')]").endswith((".", "!", "?", "…", ":", ";")) for x in lines) / n
     common = sum(w in COMMON for w in words) / max(1, len(words))
     # records of a regular layout need more running text than half to pass
