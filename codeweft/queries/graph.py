@@ -354,4 +354,14 @@ SQL = {
     "edge_confidence": _with(_N, _E) + "SELECT type, coalesce(nullif(confidence, ''), CASE WHEN type IN ('implements', 'maps_to_table', 'reads_table', 'writes_table', 'injected', 'decorated', 'routed', 'explains') THEN 'INFERRED' ELSE 'EXTRACTED' END) AS confidence, count(*) AS n FROM e0 GROUP BY ALL",
     "nearest_entity": _with(_N, "r AS (SELECT * FROM n WHERE type = 'Rationale' AND file IS NOT NULL AND line_end IS NOT NULL)", "t AS (SELECT * FROM n WHERE type <> 'Rationale' AND file IS NOT NULL AND line_start IS NOT NULL)")
     + """SELECT r.repo_path, r.id, coalesce(arg_min(t.id, (t.line_start, t.id)) FILTER (t.line_start >= r.line_end), arg_max(t.id, (t.line_start, t.id))) AS entity FROM r JOIN t ON t.repo_path = r.repo_path AND t.file = r.file GROUP BY r.repo_path, r.id""",
+    "source_texts": _with(_N, _E, """cl AS (SELECT e.repo_path, e.src_id AS id, string_agg(DISTINCT line, chr(10) ORDER BY line) AS cols FROM (
+   SELECT e.repo_path, e.src_id, concat_ws(' ', '- ' || regexp_extract(e.dst_id, '[^./]*$'), nullif(json_extract_string(c.properties, '$.sql_type'), '')) AS line
+   FROM e JOIN n t ON t.repo_path = e.repo_path AND t.id = e.src_id AND t.type = 'Table' JOIN n c ON c.repo_path = e.repo_path AND c.id = e.dst_id WHERE e.type = 'has_field') e GROUP BY 1, 2)""",
+   """rf AS (SELECT repo_path, dst_id AS id, string_agg(DISTINCT src_id, ', ' ORDER BY src_id) AS refs FROM e WHERE type = 'references_fk' GROUP BY 1, 2)""",
+   """hd AS (SELECT repo_path, id, min(h) AS h FROM (SELECT repo_path, dst_id AS id, src_id AS h FROM e WHERE type IN ('exposes_endpoint', 'routed') UNION ALL SELECT repo_path, src_id, dst_id FROM e WHERE type IN ('exposes_endpoint', 'routed')) GROUP BY 1, 2)""")
+    + """SELECT n.repo_path, n.id, CASE n.type WHEN 'Table' THEN 'Table ' || n.id[7:] || coalesce(chr(10) || 'Columns:' || chr(10) || cols, '') || coalesce(chr(10) || 'Referenced by: ' || refs, '')
+   WHEN 'Endpoint' THEN 'Endpoint ' || n.id[10:] || coalesce(chr(10) || 'Handler: ' || h, '') WHEN 'ExternalDependency' THEN 'External dependency ' || n.id[5:] || coalesce('@' || nullif(json_extract_string(n.properties, '$.version'), ''), '')
+   ELSE n.type || ' ' || coalesce(nullif(n.signature, ''), n.id) END AS source
+ FROM n LEFT JOIN cl ON cl.repo_path = n.repo_path AND cl.id = n.id LEFT JOIN rf ON rf.repo_path = n.repo_path AND rf.id = n.id LEFT JOIN hd ON hd.repo_path = n.repo_path AND hd.id = n.id
+ WHERE n.type IN ('Table', 'Endpoint', 'ExternalDependency', 'Enum', 'Decorator', 'Variable', 'TypeAlias')""",
 }

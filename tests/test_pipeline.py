@@ -124,7 +124,7 @@ def test_streams(spark, tmp_path):
 def test_contract(spark):
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(q) and {f"p{n}_found" for n in (2, 3, 5, 6)} <= set(q)
-    assert __spark_entry__.entry(spark).columns == ["side", "type", "node_id", "degree"]
+    assert __spark_entry__.entry(spark).columns == ["repo_path", "id", "degree", "rank"]
     assert isinstance(cli.parser(), argparse.ArgumentParser)
 
 
