@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from codeweft import model
 from codeweft.functions import columns as X
 from codeweft.operators.graph import R, PropertyGraph, lookup
-from codeweft.runtime import cut
+from codeweft.runtime import cut, rank_within
 
 #: Pairs of a checkout up to which one task runs the sequential kernel; larger checkouts go through ``parallel_moves``.
-KERNEL_PAIRS = 2_000_000
+KERNEL_PAIRS = 500_000
 
 
 def pair_weights(g: PropertyGraph) -> DataFrame:
@@ -137,8 +137,8 @@ def communities(g: PropertyGraph, resolution: float = model.RESOLUTION, kernel_p
 def renumber(members: DataFrame) -> DataFrame:
     """Numbers from 0 within a checkout: larger communities first, then by smallest member."""
     sizes = members.groupBy(R, "community").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    w = Window.partitionBy(R).orderBy(F.desc("n"), "least")
-    return lookup(members, sizes.withColumn("no", F.row_number().over(w) - 1), {R: R, "community": "community"}, {"no": "no"}).select(R, "id", F.col("no").cast("int").alias("community"))
+    numbered = rank_within(sizes, [R], [F.desc("n"), F.col("least")], "no").withColumn("no", F.col("no") - 1)
+    return lookup(members, numbered, {R: R, "community": "community"}, {"no": "no"}).select(R, "id", F.col("no").cast("int").alias("community"))
 
 
 def labels(nodes: DataFrame, members: DataFrame) -> DataFrame:

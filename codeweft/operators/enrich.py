@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import columns as X
-from codeweft.operators.graph import R
+from codeweft.operators.graph import R, lookup
 from codeweft.runtime import spread
 
 # Tags of rationale comments, declarations that documentation can precede.
@@ -116,20 +116,34 @@ def extract_rationale(source_files: DataFrame) -> DataFrame:
     return spread(rows).mapInPandas(_rationale, RATIONALE).dropDuplicates([R, "id"])
 
 
+#: Lines in a block of a file; bounds the rows any window holds.
+LINES = 4096
+
+
 def nearest_entity(comments: DataFrame, entities: DataFrame) -> DataFrame:
     """Forward as-of join: comments (repo_path, id, file, line_end) with the ``entity`` they explain.
 
     The first entity of the file (repo_path, id, file, line_start) starting at or after the comment's end, ties by id,
-    else the last one; files without entities are left out. One sort of both sides by file and line.
+    else the last one; files without entities are left out. Answers are made once per line, within blocks of lines and
+    then from block to block, so a file holding most rows is no single group.
     """
-    e = entities.where("file is not null and line_start is not null").select(R, "file", F.col("line_start").alias("line"), F.lit(1).alias("kind"), "id")
-    m = comments.where("file is not null and line_end is not null").select(R, "file", F.col("line_end").alias("line"), F.lit(0).alias("kind"), "id")
-    w = Window.partitionBy(R, "file").orderBy("line", "kind", "id")
-    mine = F.when(F.col("kind") == 1, F.struct("line", "id"))
-    after = F.first(mine, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    last = F.max(mine).over(Window.partitionBy(R, "file"))
-    out = e.unionByName(m).select(R, "file", "kind", "id", F.coalesce(after, last).alias("v"))
-    return out.where("kind = 0 and v is not null").select(R, "id", F.col("v.id").alias("entity"))
+    key = [R, "file"]
+    e = entities.where("file is not null and line_start is not null").select(*key, F.col("line_start").alias("line"), "id")
+    m = comments.where("file is not null and line_end is not null").select(*key, F.col("line_end").alias("line"), "id")
+    block = F.floor(F.col("line") / LINES).cast("int")
+    starts = e.groupBy(*key, "line").agg(F.min(F.struct("line", "id")).alias("e"))
+    asked = m.select(*key, "line").distinct()
+    both = starts.select(*key, "line", "e", F.lit(False).alias("asked")).unionByName(asked.select(*key, "line", F.lit(None).cast(starts.schema["e"].dataType).alias("e"), F.lit(True).alias("asked")))
+    lines = both.groupBy(*key, "line").agg(F.max("e").alias("e"), F.max("asked").alias("asked")).withColumn("block", block)
+    inside = F.first("e", ignorenulls=True).over(Window.partitionBy(*key, "block").orderBy("line").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    here = lines.withColumn("after", inside).where("asked")
+    blocks = lines.groupBy(*key, "block").agg(F.min("e").alias("first"))
+    w = Window.partitionBy(*key).orderBy("block")  # one row for each block of a file
+    beyond = blocks.select(*key, "block", F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("beyond"))
+    last = e.groupBy(*key).agg(F.max(F.struct("line", "id")).alias("last"))
+    told = lookup(lookup(here, beyond, {R: R, "file": "file", "block": "block"}, {"beyond": "beyond"}), last, {R: R, "file": "file"}, {"last": "last"}, "inner")
+    told = told.select(*key, "line", F.coalesce("after", "beyond", "last").alias("v"))
+    return lookup(m, told, {R: R, "file": "file", "line": "line"}, {"v": "v"}, "inner").select(R, "id", F.col("v.id").alias("entity"))
 
 
 def explains(comments: DataFrame, entities: DataFrame) -> DataFrame:

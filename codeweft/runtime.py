@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separates the parts of a composite key. A unit separator does not occur in ids or paths.
@@ -81,3 +81,19 @@ def spread(df: DataFrame) -> DataFrame:
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Row numbers from 1 within each group without gathering a group: numbers inside range partitions plus what lies before.
+
+    ``order`` has to be total within a group.
+    """
+    parts = shuffle_partitions(df.sparkSession)
+    ranged = cut(df.repartitionByRange(parts, *[F.col(c) for c in group], *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))  # one row for each group and partition
+    before = counts.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_part").alias("_p"), (F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)))
+    cond = F.col("_part") == F.col("_p")
+    for c in group:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return own.join(before, cond).withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).drop("_part", "_own", "_p", "_before", *[f"_g_{c}" for c in group])

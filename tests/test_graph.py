@@ -236,6 +236,27 @@ def test_source_texts(spark):
     assert got == {"table:o": "Table o\nColumns:\n- id INT\nReferenced by: table:x", "table:x": "Table x", "endpoint:GET /a": "Endpoint GET /a\nHandler: f()", "ext:lib": "External dependency lib@>=2", "enum:p.E": "Enum enum E"}
 
 
+def test_nearest_entity_across_blocks(spark):
+    rnd = random.Random(7)
+    ent = [N(f"e{k}", file=rnd.choice("fg"), lines=(rnd.choice([1, 5, 4095, 4096, 9000, rnd.randrange(20_000)]), None)) for k in range(60)]
+    com = [N(f"c{k}", file=rnd.choice("fgh"), lines=(None, rnd.choice([5, 4096, rnd.randrange(22_000)]))) for k in range(120)]
+    want = []
+    for c in com:
+        mine = [(e[4], e[1]) for e in ent if e[3] == c[3]]
+        if mine:
+            want.append((c[1], min([x for x in mine if x[0] >= c[5]], default=max(mine))[1]))
+    got = enrich.nearest_entity(spark.createDataFrame(com, NODES), spark.createDataFrame(ent, NODES))
+    assert rows(got.select("id", "entity")) == sorted(want, key=str)
+
+
+def test_rank_within(spark):
+    from codeweft.runtime import rank_within
+
+    df = spark.createDataFrame([("a" if k % 3 else None, k * 37 % 101) for k in range(100)], "g string, v int")
+    got = {r.v: r.n for r in rank_within(df, ["g"], [F.desc("v")], "n").where("g = 'a'").collect()}
+    assert got == {v: n for n, v in enumerate(sorted((k * 37 % 101 for k in range(100) if k % 3), reverse=True), 1)}
+
+
 def test_nearest_entity_and_rationale(spark):
     c = spark.createDataFrame([N("k1", "Rationale", "f", lines=(1, 2)), N("k2", "Rationale", "f", lines=(9, 9)), N("k3", "Rationale", "empty", lines=(1, 1)), N("k4", "Rationale", "f", lines=(5, 5))], NODES)
     e = spark.createDataFrame([N("a", file="f", lines=(5, 6)), N("b", file="f", lines=(3, 3)), N("c", file="f", lines=(5, 8)), N("d", file=None)], NODES)
