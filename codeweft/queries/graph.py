@@ -31,7 +31,10 @@ def sums(s: SparkSession, d: str) -> DataFrame:
 
 
 def members(n: DataFrame) -> DataFrame:
-    """A given partition: nodes by the first folder of their file."""
+    """A given partition: nodes by the first folder of their file, as the SQL twins have it. Nodes without a file are in no community.
+
+    It stands in for communities where a twin has to follow; the louvain_ queries run the same operators over all nodes.
+    """
     return analytics.renumber(n.where("file is not null").select(R, "id", F.split("file", "/")[0].alias("community")))
 
 
@@ -85,6 +88,29 @@ def suggested_questions(s, d):
 def louvain_communities(s, d): return analytics.communities(g(s, d, True))
 
 
+# The same over communities(), where every node has a community; without SQL twins.
+def found_members(s: SparkSession, d: str) -> tuple[PropertyGraph, DataFrame]:
+    x = g(s, d, True)
+    return x, cut(analytics.communities(x))
+
+
+def louvain_sizes(s, d): return louvain_communities(s, d).groupBy(R, "community").agg(F.count(F.lit(1)).alias("n_members"))
+
+
+def louvain_labels(s, d):
+    x, m = found_members(s, d)
+    return analytics.labels(x.nodes, m)
+
+
+def louvain_cross_edges(s, d): return analytics.crossing_edges(*found_members(s, d)).select(R, "id", "src_community", "dst_community", "pair_count")
+def louvain_surprises(s, d): return analytics.surprises(*found_members(s, d)).select(R, "rank", "id", "pair_count")
+
+
+def louvain_questions(s, d):
+    x, m = found_members(s, d)
+    return analytics.questions(x, m, analytics.labels(x.nodes, m), graph.degrees(x))
+
+
 # --- search and traversal
 def search_topk(s, d): return search.search(nodes_of(s, d), sums(s, d), QUESTION)
 def resolve_target(s, d): return search.resolve(nodes_of(s, d), sums(s, d), TARGET)
@@ -104,6 +130,11 @@ def expand_hops(s, d):
     return traversal.expand(x, cut(hub_targets(x)), 2, cut(members(x.nodes)))
 
 
+def louvain_expand(s, d):
+    x, m = found_members(s, d)
+    return traversal.expand(x, cut(hub_targets(x)), 2, m)
+
+
 def local_graph(s, d):
     x = g(s, d, True)
     return traversal.local_edges(x, cut(hub_targets(x)), 1).select(R, "target", "id")
@@ -222,7 +253,7 @@ def explains_edges(s, d):
 
 QUERIES = {f.__name__: f for f in (
     graph_nodes, graph_edges, dangling_edges, id_conflicts, merge_last_wins, adjacency, degree, god_nodes, god_flags, visible_graph, typed_graph, pair_weights, community_sizes, community_labels,
-    cross_edges, surprising_connections, suggested_questions, louvain_communities, search_topk, resolve_target, token_estimates, expand_hops, local_graph, shortest_costs, shortest_paths,
+    cross_edges, surprising_connections, suggested_questions, louvain_communities, louvain_sizes, louvain_labels, louvain_cross_edges, louvain_surprises, louvain_questions, louvain_expand, search_topk, resolve_target, token_estimates, expand_hops, local_graph, shortest_costs, shortest_paths,
     budget_cut, relations, rationale_index, hash_gate, edge_gate, upserted_nodes, refreshed_properties, delete_by_file, stale_marks, upserted_summaries, build_state, catalog,
     invalidation_targets, pending_nodes, pending_files, pending_modules, apply_summaries, source_texts, edge_confidence, nearest_entity, rationale_nodes, explains_edges,
 )}

@@ -134,6 +134,23 @@ def test_louvain_and_labels(spark):
     assert rows(lone.select("id", "community")) == [("x", 0), ("y", 1)]
 
 
+def test_nodes_without_a_file_have_communities(spark, tmp_path):
+    from codeweft.queries import graph as queries
+
+    n, e = cliques()
+    n += [N("ext:lib", "ExternalDependency"), *[N(f"ext:{k}", "ExternalDependency") for k in range(1, 4)]]
+    e += [E("imports", f"ext:{k}", "ext:lib") for k in range(1, 4)] + [E("imports", "a1", "ext:lib")]
+    spark.createDataFrame(n, NODES).write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame(e, EDGES).write.parquet(f"{tmp_path}/edges.parquet")
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path))
+    assert sorted(r.n_members for r in run("louvain_sizes").collect()) == [4, 4, 4]
+    assert rows(run("louvain_cross_edges").select("id", "pair_count")) == [("imports|a1|ext:lib", 1)]
+    assert rows(run("louvain_surprises").select("id")) == [("imports|a1|ext:lib",)]
+    assert {r.label for r in run("louvain_labels").collect()} == {"Functions", "ExternalDependencys"}
+    assert any(r.question.startswith("What connects") for r in run("louvain_questions").collect())
+    assert {r.id: r.weight for r in run("louvain_expand").where("hop = 1").collect()} == {"a2": 4, "a3": 4, "a4": 4, "ext:lib": 1}
+
+
 def test_parallel_moves_find_the_cliques(spark):
     g = G(spark, *cliques([("bridge", "a1", "b1")]))
     m = analytics.communities(g, kernel_pairs=1)
