@@ -4,6 +4,9 @@ Level 0 are the direct orphans: an end of an edge that names no node standing at
 was written. From there a cascade follows the foreign keys down: a node owned (has_method, has_field) by an orphaned
 reference is a child of a missing record, references to it inherit its state, and so on until a round adds nothing.
 Every round is a semi-join of the references with the round before, which is written to the shared folder.
+
+``orphan_cascade`` looks at every month by itself: a reference inherits only from an owning edge written in its own month.
+``lasting_cascade`` carries the state on: a child is orphaned from the owning edge's month until the missing record stands.
 """
 
 from __future__ import annotations
@@ -11,12 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.operators.graph import lookup
 from codeweft.runtime import cut, month_no, utc_month
 from codeweft.sources.graph_tables import with_removal
 
 #: Edge types whose source owns their target. Fixed values.
 OWNING = ["has_method", "has_field"]
 
+#: The month until which a record is missing that never stands again.
+NEVER = 2_000_000_000
+
 
 def standing_months(nodes: DataFrame, commit_files: DataFrame) -> DataFrame:
     """(repo_path, id, spans): months [from, to) at whose end some version stands; to is null while it still does.
@@ -65,7 +72,7 @@ OUT = ["repo_path", "edge_id", "field", "period", "kind", "level"]
 def orphan_cascade(edges: DataFrame, nodes: DataFrame, commit_files: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(repo_path, edge_id, field, period, kind, level): kind ``direct`` at level 0, ``inherited`` from level 1 on.
 
-    A reference is reported once, with its lowest level. ``max_rounds`` is only a guard: reaching it raises, it never
+    Owning edge and inheriting reference are of the same month. A reference is reported once, with its lowest level. ``max_rounds`` is only a guard: reaching it raises, it never
     shortens the result. Empty edges give no rows; with empty nodes every reference is direct.
     """
     keys = ["repo_path", "edge_id", "field", "period"]
@@ -84,3 +91,38 @@ def orphan_cascade(edges: DataFrame, nodes: DataFrame, commit_files: DataFrame,
     else:
         raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     return found.withColumn("kind", F.when(F.col("level") == 0, "direct").otherwise("inherited")).select(*OUT)
+
+
+def lasting_cascade(edges: DataFrame, nodes: DataFrame, commit_files: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """As ``orphan_cascade``, but an orphaned state lasts over months.
+
+    The child of an owning edge is orphaned from the edge's month on, up to the month at whose end the missing record at
+    the top stands again; references to it written in between inherit. What is owned in between is orphaned from its own
+    owning edge's month up to the same end. A reference reached again is followed again only if its state then lasts
+    longer, so rounds end. Holds at least what ``orphan_cascade`` finds.
+    """
+    keys = ["repo_path", "edge_id", "type", "field", "ref", "other", "month"]
+    refs = references(edges)
+    standing = cut(standing_months(nodes, commit_files))
+    again = F.array_min(F.transform(F.filter("spans", lambda x: x["from"] > F.col("month")), lambda x: x["from"]))
+    direct = lookup(direct_orphans(refs, standing), standing, {"repo_path": "repo_path", "ref": "id"}, {"spans": "spans"})
+    found = cut(direct.withColumn("until", F.coalesce(again, F.lit(NEVER))).withColumn("level", F.lit(0)).drop("spans"))
+    frontier = found
+    for level in range(1, max_rounds + 1):
+        owned = (
+            frontier.where((F.col("field") == "src_id") & F.col("type").isin(OWNING))
+            .groupBy(F.col("repo_path").alias("_r"), F.col("other").alias("_i"), "month").agg(F.max("until").alias("until"))
+            .groupBy("_r", "_i").agg(F.collect_list(F.struct("month", "until")).alias("states"))  # at most one for each month
+        )
+        lasts = F.array_max(F.transform(F.filter("states", lambda x: (x["month"] <= F.col("month")) & (x["until"] > F.col("month"))), lambda x: x["until"]))
+        hit = refs.join(owned, (F.col("repo_path") == F.col("_r")) & (F.col("ref") == F.col("_i"))).withColumn("until", lasts).where("until is not null").drop("_r", "_i", "states")
+        known = found.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("until").alias("_until"))
+        new = hit.join(known, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left").where("_until is null or until > _until").select(*refs.columns, "until")
+        frontier = cut(new.withColumn("level", F.lit(level)))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    else:
+        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+    out = found.groupBy("repo_path", "edge_id", "field", "period").agg(F.min("level").alias("level"))
+    return out.withColumn("kind", F.when(F.col("level") == 0, "direct").otherwise("inherited")).select(*OUT)

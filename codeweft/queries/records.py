@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.operators.dense_counts import dense_sums
-from codeweft.operators.orphans import orphan_cascade
+from codeweft.operators.orphans import lasting_cascade, orphan_cascade
 from codeweft.operators.pending_work import pending_work
 from codeweft.operators.snapshot_diff import snapshot_changes
 from codeweft.runtime import SEP, table
@@ -72,11 +72,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _cascade(spark, d).where(F.col("kind") == "direct").select("repo_path", "edge_id", "field", "period")
 
 
+def _report(cascade: DataFrame) -> DataFrame:
+    return cascade.groupBy("field", "period", "kind", "level").agg(F.count(F.lit(1)).alias("n_references"), F.countDistinct("repo_path").alias("n_checkouts"))
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return _cascade(spark, d).groupBy("field", "period", "kind", "level").agg(F.count(F.lit(1)).alias("n_references"), F.countDistinct("repo_path").alias("n_checkouts"))
+    """Month by month, as its SQL has it; ``p6_lasting`` carries the state over months."""
+    return _report(_cascade(spark, d))
+
+
+def p6_lasting(spark: SparkSession, d: str) -> DataFrame:
+    return _report(lasting_cascade(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "commit_files")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_degree, p3_neighbours, p5_found, p5_report, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_degree, p3_neighbours, p5_found, p5_report, p6_found, p6_report, p6_lasting)}
 
 _P2 = """
 WITH meta AS (

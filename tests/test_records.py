@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeweft.operators import intervals
 from codeweft.operators.dense_counts import dense_sums
-from codeweft.operators.orphans import orphan_cascade
+from codeweft.operators.orphans import lasting_cascade, orphan_cascade
 from codeweft.operators.pending_work import pending_work
 from codeweft.operators.snapshot_diff import Bitmap, extend_ordinals, snapshot_changes
 from codeweft.model import EDGES, NODES, SUMMARIES
@@ -174,3 +174,21 @@ def test_orphans_by_month_and_cascade(spark):
     assert none.count() == 0
     all_direct = orphan_cascade(spark.createDataFrame(e[:1], EDGES), spark.createDataFrame([], NODES), spark.createDataFrame([], COMMITS))
     assert rows(all_direct.groupBy("kind").count()) == [("direct", 2)]
+
+
+def test_orphaned_state_lasts_over_months(spark):
+    day = lambda y, m, d: int(at(y, m, d).timestamp())
+    n = [node("r", x, day(2025, 1, 1)) for x in ("a", "m", "leaf", "k")] + [node("r", "back", day(2025, 4, 2))]
+    jan, feb, mar, apr = [at(2025, k, 10) for k in (1, 2, 3, 4)]
+    e = [
+        edge("r", "has_method", "missing", "m", feb), edge("r", "calls", "a", "m", jan), edge("r", "has_field", "m", "leaf", mar), edge("r", "calls", "a", "leaf", feb), edge("r", "reads", "a", "leaf", apr),
+        edge("r", "has_method", "back", "k", jan), edge("r", "calls", "a", "k", mar), edge("r", "reads", "a", "k", apr), edge("r", "has_field", "leaf", "m", apr),
+    ]
+    frames = spark.createDataFrame(e, EDGES), spark.createDataFrame(n, NODES), spark.createDataFrame([], COMMITS)
+    out = {r[1:4] + (r[5],) for r in rows(lasting_cascade(*frames))}
+    assert out == {
+        ("has_method|missing|m", "src_id", "2025-02", 0), ("has_method|missing|m", "dst_id", "2025-02", 1), ("has_field|m|leaf", "src_id", "2025-03", 1), ("has_field|m|leaf", "dst_id", "2025-03", 2),
+        ("reads|a|leaf", "dst_id", "2025-04", 2), ("has_field|leaf|m", "src_id", "2025-04", 2), ("has_field|leaf|m", "dst_id", "2025-04", 1),
+        ("has_method|back|k", "src_id", "2025-01", 0), ("has_method|back|k", "dst_id", "2025-01", 1), ("calls|a|k", "dst_id", "2025-03", 1),
+    }
+    assert {r[1:4] for r in rows(orphan_cascade(*frames))} < {x[:3] for x in out}
