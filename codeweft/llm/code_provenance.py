@@ -1,32 +1,41 @@
 """Which source files somebody wrote by hand: generated, minified, third-party and data files told from them.
 
-Identifiers are the evidence. All files of a language train one character trigram model of its identifiers; a file
-whose own names cost far more bits than the language's usual ones is mangled (minified or encoded). Files that hold
-hardly any declared names beside their literals, or repeat one record over and over, have no diversity: data. Names of
-packages and styles foreign to a checkout speak for third-party code. Where generators and copies keep the house style
-their origin is not in the names; for those the file's own statement (head comments, never strings) and its place in
-the tree decide. ``README.md`` gives how much each part contributes.
+Names are the first evidence. All files of a language train one character trigram model of its identifiers: a file whose
+own names cost far more bits than the language's usual ones is mangled (minified); a file that repeats few names over and
+over for its length is filled from a template (generated); a file whose naming style lies far from the other files of its
+checkout and language came from elsewhere (vendored); a file that has hardly any names beside its literals is data.
+
+Generators and copies that keep the house style show nothing of this. For those the origin stated about the file decides:
+in its head comment (never in strings), in the place where it lies, or in the properties recorded for its nodes. The
+README gives how many files each part decides.
+
+Every text is read once. That pass writes measures and trigram counts; models, styles and verdicts come from those.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.lexing import language_of, normalise, scan
-from codeweft.runtime import spread
+from codeweft.runtime import cut, spread
 
 LANGUAGES = ("python", "go", "java", "typescript", "javascript")
 
-#: Thresholds, the same for all sizes: bits a character above the language's mean, share of solid characters.
-MANGLED_BITS, SHORT_NAMES, LITERALS, DENSE_LINE = 1.0, 0.5, 0.6, 0.85
+#: Bits a sign above the language's mean from which names are mangled, and how many names it takes to say so.
+MANGLED_BITS, LEAST_NAMES = 1.0, 5
+#: Different names over names^0.75 below which names are template-like.
+TEMPLATE_DIVERSITY = 1.0
+#: Sum of the differences in camel, snake and capital shares to the checkout's other files, and how many those have to be.
+FOREIGN_STYLE, LEAST_FILES = 0.8, 8
+#: Share of literals in what is no comment, with at most one declaration beside them.
+LITERALS = 0.6
 
 # Folder and file names by which tools mark their output.
 VENDOR_DIRS = {"vendor", "third_party", "third-party", "thirdparty", "node_modules", "bower_components", "site-packages", "dist-packages", "external", "externals", "_vendor", "godeps", "pods", "jspm_packages"}
@@ -34,32 +43,38 @@ GENERATED_DIRS = {"gen", "generated", "__generated__", "autogen", "generated-sou
 GENERATED_NAME = re.compile(r"(?:\.pb\.\w+|_pb2(?:_grpc)?\.pyi?|_grpc\.\w+|\.(?:gen|g|generated|designer|pb)\.\w+|_(?:generated|gen|autogen)\.\w+)$|^(?:zz_generated|generated_|autogenerated)", re.I)
 MINIFIED_NAME = re.compile(r"[.-]min\.\w+$|\.(?:bundle|chunk)\.js$", re.I)
 
-# How head comments state an origin, and how they deny it.
-STATES_GENERATED = re.compile(
-    r"@generated\b|<auto-?generated\b|\bauto-?generated\b|\bgenerated (?:by|from|with|using|on)\b|\bautomatically (?:generated|produced|created|written)\b|\bdo not (?:edit|modify|change|touch)\b"
-    r"|\b(?:edits|changes|modifications)\b.{0,40}\b(?:lost|overwritten|discarded|replaced)\b|\bregenerate (?:with|using|by)\b|^\W*(?:written|produced|created|emitted) by [\w.-]+ v?\d+\.\d+|^\W*versions?: [\w.-]+ v?\d+\.\d+",
-    re.I,
-)
-DENIES_GENERATED = re.compile(r"\b(?:not|never|isn't|wasn't)\b[^.;]{0,20}\bgenerated\b|\b(?:written|maintained|edited) by hand\b|\bhand-?written\b|\bemits?\b|\bthe output\b|\bgenerator for\b", re.I)
-STATES_VENDORED = re.compile(
-    r"\bupstream\s*:|\bcop(?:ied|y) (?:verbatim )?(?:from|of) [\w@.-]+/|\bcopied verbatim\b|\bvendored\b|\bthird[- ]party (?:sources?|code|librar)|\blocal fork\b|^\W*[\w.@/-]+ v?\d+\.\d+(?:\.\d+)* - https?://"
-    r"|^\W*[\w.@/-]+ release v?\d+\.\d+|\bdistributed under the terms of the\b|^/\*!\s*[\w.@/-]+ v?\d+\.\d+.*\(c\)|\bsee its licen[cs]e\b",
+#: What a tool says of its output: made automatically, made from or by something, not to be edited.
+_MADE = re.compile(
+    r"@generated\b|\bauto(?:matically)?[ -]?(?:generated|produced|created|written)\b|(?<!not )(?<!never )(?<!n't )\bgenerated (?:by|from|with|using|on)\b"
+    r"|\bdo not (?:edit|modify|change|touch)\b|\b(?:edits|changes|modifications)\b[^.;]*\b(?:lost|overwritten|discarded|replaced)\b",
     re.I,
 )
+#: What a copy says of itself: whose it is, and that it came from there.
+_BROUGHT = re.compile(r"\bupstream\b|\bcop(?:y|ied) (?:verbatim )?(?:of|from)\b|\bvendored\b|\bthird[- ]party\b|\bfork of\b|\b(?:under|see) (?:the )?(?:terms|its|licen[cs]e)\b|\blicen[cs]ed\b|https?://", re.I)
+#: A product with the number of its version. Whoever writes by hand does not put one on top of a file.
+_VERSIONED = re.compile(r"\b[A-Za-z][\w./-]*(?:@| +(?:v|release +|version +)?)v?\d+\.\d+(?:\.\d+)*\b")
 
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
 _NUMBER = re.compile(r"(?<![\w$])[-+]?(?:0x[\da-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)\b")
+_DECLARED = re.compile(r"\b(?:func|function|def|class|interface|enum|return)\b|=>\s*\{")
+_CAMEL, _DIGIT, _STRANGE = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"\d"), re.compile(r"[^a-z0_$]")
 _KEYWORDS = frozenset(
     "if else for while do return break continue switch case default try catch finally throw throws new class interface enum extends implements import export from as package func function def lambda async await yield var let const type struct "
     "public private protected static final void int string bool boolean byte float double long char nil null None undefined true false True False self this super range map chan go defer select in is not and or with pass raise except global nonlocal del print len "
     "String List Optional Override error any number object module exports".split()
 )
 
+#: Signs of the models: letters, a digit, marks, anything else, start and end of a name.
+SIGNS = "abcdefghijklmnopqrstuvwxyz0_$?^."
+_AT = {c: k for k, c in enumerate(SIGNS)}
+GRAMS = len(SIGNS) ** 3
+
 
-def symbols(name: str) -> str:
-    """A name over the model's alphabet of at most 32 signs: lower-case letters, 0 for digits, marks, start and end."""
-    s = re.sub(r"\d", "0", re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower())
-    return "^^" + re.sub(r"[^a-z0_$]", "?", s) + "."
+def grams(name: str) -> list[int]:
+    """Numbers of a name's trigrams; a step from small to capital letter counts as an underscore."""
+    s = "^^" + _STRANGE.sub("?", _DIGIT.sub("0", _CAMEL.sub("_", name).lower())) + "."
+    k = [_AT[c] for c in s]
+    return [(a * 32 + b) * 32 + c for a, b, c in zip(k, k[1:], k[2:])]
 
 
 def head_comments(text: str, tokens, code: str) -> list[str]:
@@ -69,144 +84,206 @@ def head_comments(text: str, tokens, code: str) -> list[str]:
     return [line for t in tokens if t.kind in ("line", "block", "doc") and t.start < limit for line in text[t.start : t.end].split("\n")]
 
 
-def features(file: str | None, content: str, language: str) -> dict:
+def stated(head: list[str]) -> str:
+    """vendored, generated or nothing: what head comments say. A product's version alone speaks for a tool's output."""
+    joined = "\n".join(head)
+    versioned = _VERSIONED.search(joined)
+    if versioned and _BROUGHT.search(joined):
+        return "vendored"
+    if _MADE.search(joined) or versioned:
+        return "generated"
+    return "vendored" if re.search(r"\bvendored from\b|\bcopied (?:verbatim )?from\b|\bthird[- ]party (?:sources?|code|librar)", joined, re.I) else ""
+
+
+def place(file: str | None) -> str:
+    """vendored, generated, minified or nothing: what folders and the file's name say."""
+    parts = (file or "").replace("\\", "/").split("/")
+    folders, name = {p.lower() for p in parts[:-1]}, parts[-1]
+    if folders & VENDOR_DIRS:
+        return "vendored"
+    if folders & GENERATED_DIRS or GENERATED_NAME.search(name):
+        return "generated"
+    return "minified" if MINIFIED_NAME.search(name) else ""
+
+
+MEASURES = (
+    "file_id bigint, repo_path string, file string, language string, mark bigint, n_names int, n_distinct int, short_names double, camel_share double, snake_share double, capital_share double, "
+    "literal_share double, declared int, stated string, place string, grams array<int>, used array<int>, once array<int>"
+)
+_COLUMNS = [c.split()[0] for c in MEASURES.split(", ")]
+_KNOWN: dict[str, np.ndarray] = {}
+
+
+def measures(file: str | None, content: str, language: str) -> tuple:
+    """Values of ``MEASURES`` from n_names on, for one file."""
     text = normalise(content)
     tokens, code = scan(text, language)
-    names = [n for n in _NAME.findall(code) if n not in _KEYWORDS]
+    names = Counter(n for n in _NAME.findall(code) if n not in _KEYWORDS)
     solid = max(1, sum(map(len, text.split())))
-    comment = sum(len("".join(text[t.start : t.end].split())) for t in tokens if t.kind != "string")
-    strings = sum(len("".join(text[t.start : t.end].split())) for t in tokens if t.kind == "string")
-    numbers = sum(len(x) for x in _NUMBER.findall(code))
+    comment = strings = 0
+    for t in tokens:
+        size = len("".join(text[t.start : t.end].split()))
+        if t.kind == "string":
+            strings += size
+        else:
+            comment += size
+    numbers = sum(map(len, _NUMBER.findall(code)))
     body = max(1, solid - comment)
-    code_lines = [x for x in code.split("\n") if x.strip()]
-    head = head_comments(text, tokens, code)
-    parts = (file or "").replace("\\", "/").split("/")
-    folders, name = {p.lower() for p in parts[:-1]}, parts[-1]
-    said = [x for x in head if not DENIES_GENERATED.search(x)]
-    return {
-        "names": Counter(names),
-        "literal_share": (strings + numbers + 0.5 * (code.count(",") if numbers + strings > 0.3 * body else 0)) / body,
-        "declared": len(re.findall(r"\b(?:func|function|def|class|interface|enum|return)\b|=>\s*\{", code)),
-        "longest_line": max(map(len, code_lines), default=0),
-        "space_share": 1 - sum(len(x.replace(" ", "").replace("\t", "")) for x in code_lines) / max(1, sum(map(len, code_lines))),
-        "says_generated": any(STATES_GENERATED.search(x) for x in said),
-        "says_vendored": any(STATES_VENDORED.search(x) for x in head),
-        "vendor_dir": bool(folders & VENDOR_DIRS),
-        "generated_path": bool(folders & GENERATED_DIRS) or bool(GENERATED_NAME.search(name)),
-        "minified_name": bool(MINIFIED_NAME.search(name)),
-    }
-
-
-def _ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Trigram counts of a split; each file counts each of its names once, so long files do not outweigh others."""
+    literals = (strings + numbers + 0.5 * (code.count(",") if numbers + strings > 0.3 * body else 0)) / body
+    if len(_KNOWN) > 100_000:  # bounds a worker's memory
+        _KNOWN.clear()
+    parts, sizes = [], []
+    for n in names:
+        if (g := _KNOWN.get(n)) is None:
+            g = _KNOWN[n] = np.array(grams(n), np.int32)
+        parts.append(g)
+        sizes.append(len(g))
+    total, count = sum(names.values()), np.fromiter(names.values(), np.int64, len(names))
+    if parts:
+        ids, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        used = np.bincount(inverse, np.repeat(count, sizes)).astype(np.int32)
+        once = np.bincount(inverse).astype(np.int32)
+    else:
+        ids = used = once = np.empty(0, np.int32)
+
+    def share(held) -> float:
+        return sum(c for n, c in names.items() if held(n)) / total if total else 0.0
+
+    return (
+        total, len(names), share(lambda n: len(n) <= 2), share(lambda n: _CAMEL.search(n) is not None), share(lambda n: "_" in n.strip("_")), share(lambda n: n[0].isupper()),
+        literals, len(_DECLARED.findall(code)), stated(head_comments(text, tokens, code)), place(file), ids, used, once,
+    )
+
+
+def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"file_id": "int64", "mark": "int64"} | {c: "int32" for c in ("n_names", "n_distinct", "declared")} | {c: "float64" for c in _COLUMNS if c.endswith(("share", "short_names"))}
     for b in batches:
-        names: Counter = Counter()
-        for file, language, content in zip(b["file"], b["language"], b["content"]):
+        rows = []
+        for file_id, repo, file, language, content, mark in zip(b["file_id"], b["repo_path"], b["file"], b["language"], b["content"], b["mark"]):
             lang = language_of(file, language)
-            if lang in LANGUAGES:
-                names.update((lang, n) for n in set(_NAME.findall(scan(normalise(content), lang)[1])) - _KEYWORDS)
-        counts: Counter = Counter()
-        for (lang, n), c in names.items():
-            s = symbols(n)
-            for k in range(2, len(s)):
-                counts[lang, s[k - 2 : k + 1]] += c
-        yield pd.DataFrame([(l, g, c) for (l, g), c in counts.items()], columns=["lang", "gram", "n"]).astype({"n": "int64"})
+            rows.append((file_id, repo, file, lang, mark, *measures(file, content, lang if lang in LANGUAGES else "javascript")))
+        yield pd.DataFrame(rows, columns=_COLUMNS).astype(kinds)
 
 
 class NameModel:
-    """Character trigrams of one language's names with add-half smoothing over its alphabet."""
-
-    def __init__(self, grams: dict[str, int]) -> None:
-        self.n, self.context = grams, Counter()
-        for g, c in grams.items():
-            self.context[g[:2]] += c
-        total = sum(grams.values())
-        self.known: dict[str, tuple[float, int]] = {}
-        self.mean = sum(c * self._bits(g) for g, c in grams.items()) / total if total else 0.0
+    """Character trigrams of one language's names with add-half smoothing over its signs."""
 
-    def _bits(self, gram: str) -> float:
-        return -math.log2((self.n.get(gram, 0) + 0.5) / (self.context.get(gram[:2], 0) + 16))
+    def __init__(self, n: np.ndarray) -> None:
+        context = np.repeat(n.reshape(-1, 32).sum(1), 32)
+        self.bits = -np.log2((n + 0.5) / (context + 16))
+        total = n.sum()
+        self.mean = float((n * self.bits).sum() / total) if total else 0.0
 
-    def cost(self, names: Counter) -> float:
+    def cost(self, ids: np.ndarray, used: np.ndarray) -> float:
         """Bits a sign of a file's names, by how often they occur."""
-        bits = signs = 0.0
-        if len(self.known) > 200_000:  # bounds a worker's memory
-            self.known.clear()
-        for n, c in names.items():
-            if n not in self.known:
-                s = symbols(n)
-                self.known[n] = sum(self._bits(s[k - 2 : k + 1]) for k in range(2, len(s))), len(s) - 2
-            b, k = self.known[n]
-            bits += c * b
-            signs += c * k
-        return bits / signs if signs else 0.0
-
-
-def train(source_files: DataFrame) -> dict[str, NameModel]:
-    """Models from all files. At most 32^3 trigrams for each of five languages reach the driver."""
-    rows = spread(_texts(source_files).select("file", "language", "content")).mapInPandas(_ngrams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
-    return {lang: NameModel({r.gram: r.n for r in rows if r.lang == lang}) for lang in LANGUAGES}
-
-
-def verdict(f: dict, bits: float, mean: float) -> tuple[str, str]:
-    """(kind, reason): hand, generated, minified, vendored or data."""
-    names = f["names"]
-    total = sum(names.values())
-    short = sum(c for n, c in names.items() if len(n) <= 2) / total if total else 0.0
-    mangled = total >= 5 and bits - mean > MANGLED_BITS
-    dense = f["longest_line"] > 500 and f["space_share"] < 1 - DENSE_LINE
-    if (mangled and short > SHORT_NAMES) or (dense and short > SHORT_NAMES) or (f["minified_name"] and (mangled or dense or short > SHORT_NAMES)):
-        return "minified", "mangled names"
-    if f["literal_share"] > LITERALS and f["declared"] <= 1:
-        return "data", "literals without declarations"
-    if f["says_vendored"]:
-        return "vendored", "stated in head"
-    if f["says_generated"]:
-        return "generated", "stated in head"
-    if f["vendor_dir"]:
-        return "vendored", "folder"
-    if f["generated_path"]:
-        return "generated", "file name"
-    if f["minified_name"] and f["longest_line"] > 500:
-        return "minified", "file name"
-    return "hand", ""
-
-
-OUT = "file_id bigint, repo_path string, file string, kind string, reason string, language string, bits double, excess_bits double, diversity double, short_names double, camel_share double, literal_share double"
-
-
-def _judge(models):
+        total = used.sum()
+        return float((self.bits[ids] * used).sum() / total) if total else 0.0
+
+
+def train(measured: DataFrame) -> dict[str, NameModel]:
+    """Models from all files, each of which counts each of its names once. At most 5 * 32^3 sums reach the driver."""
+    pair = F.explode(F.arrays_zip("grams", "once")).alias("p")
+    rows = measured.where(F.col("language").isin(*LANGUAGES)).select("language", pair).groupBy("language", F.col("p.grams").alias("g")).agg(F.sum("p.once").alias("n")).toPandas()
+    models = {}
+    for lang in LANGUAGES:
+        n = np.zeros(GRAMS)
+        own = rows[rows["language"] == lang]
+        n[own["g"].to_numpy(int)] = own["n"].to_numpy(float)
+        models[lang] = NameModel(n)
+    return models
+
+
+def verdict() -> tuple[Column, Column]:
+    """(kind, reason) as expressions over one row of measures: names come first, then what is stated of the file."""
+    named = F.col("n_names") >= LEAST_NAMES
+    rules = [
+        (named & (F.col("excess_bits") > MANGLED_BITS), F.lit("minified"), "mangled names"),
+        ((F.col("literal_share") > LITERALS) & (F.col("declared") <= 1), F.lit("data"), "literals without names"),
+        (named & (F.col("diversity") < TEMPLATE_DIVERSITY), F.lit("generated"), "template-like names"),
+        (named & (F.col("other_files") >= LEAST_FILES) & (F.col("foreign_style") > FOREIGN_STYLE), F.lit("vendored"), "foreign style"),
+        (F.col("stated") != "", F.col("stated"), "stated in head"),
+        (F.col("recorded").isNotNull(), F.col("recorded"), "recorded"),
+        (F.col("place") != "", F.col("place"), "place"),
+    ]
+    kind, reason = F.lit("hand"), F.lit("")
+    for holds, then, why in reversed(rules):
+        holds = F.coalesce(holds, F.lit(False))
+        kind, reason = F.when(holds, then).otherwise(kind), F.when(holds, F.lit(why)).otherwise(reason)
+    return kind, reason
+
+
+SLIM = ", ".join(c for c in MEASURES.split(", ") if "array" not in c) + ", bits double, excess_bits double, diversity double"
+
+
+def _cost(models):
+    """Measures without their trigrams, with bits a sign, bits above the language's mean and diversity."""
+    own = [c.split()[0] for c in SLIM.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for file_id, repo, file, language, content in zip(b["file_id"], b["repo_path"], b["file"], b["language"], b["content"]):
-                lang = language_of(file, language)
-                if not content.strip():
-                    rows.append((file_id, repo, file, "hand", "empty", lang, *[0.0] * 6))
-                    continue
-                f = features(file, content, lang if lang in LANGUAGES else "javascript")
-                model = models.value.get(lang)
-                bits, mean = (model.cost(f["names"]), model.mean) if model else (0.0, 0.0)
-                kind, reason = verdict(f, bits, mean)
-                n = sum(f["names"].values())
-                short = sum(c for x, c in f["names"].items() if len(x) <= 2) / n if n else 0.0
-                camel = sum(c for x, c in f["names"].items() if re.search(r"[a-z][A-Z]", x)) / n if n else 0.0
-                rows.append((file_id, repo, file, kind, reason, lang, bits, bits - mean, len(f["names"]) / n if n else 0.0, short, camel, f["literal_share"]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"file_id": "int64"} | {c: "float64" for c in ("bits", "excess_bits", "diversity", "short_names", "camel_share", "literal_share")})
+            known = [models.value.get(x) for x in b["language"]]
+            bits = np.array([m.cost(g, u) if m else 0.0 for m, g, u in zip(known, b["grams"], b["used"])])
+            yield b.assign(
+                bits=bits, excess_bits=bits - np.array([m.mean if m else 0.0 for m in known]),
+                diversity=np.where(b["n_names"] > 0, b["n_distinct"] / np.maximum(b["n_names"], 1) ** 0.75, 0.0),
+            )[own]
 
     return run
 
 
-def _texts(source_files: DataFrame) -> DataFrame:
-    return source_files.where(F.col("file_id").isNotNull() & F.col("content").isNotNull())
+_RECORDED = "generated boolean, generated_by string, generator string, origin string, vendored boolean"
+
+
+def recorded_origins(nodes: DataFrame) -> DataFrame:
+    """(repo_path, file, recorded): generated or vendored where the newest node of a file that says something about its origin says so."""
+    told = F.from_json("properties", _RECORDED).alias("p")
+    rows = nodes.where(
+        F.col("repo_path").isNotNull() & F.col("file").isNotNull() & F.col("properties").rlike('"(?:generated|generated_by|generator|origin|vendored)"')
+    ).select("repo_path", "file", "updated_at", told)
+
+    def given(c: Column) -> Column:
+        return c.isNotNull() & ~F.lower(F.trim(c)).isin("", "null", "none", "false", "manual", "hand")
+
+    made = F.coalesce(F.col("p.generated"), F.lit(False)) | given(F.col("p.generated_by")) | given(F.col("p.generator")) | F.coalesce(F.lower("p.origin") == "generated", F.lit(False))
+    brought = F.coalesce(F.col("p.vendored"), F.lit(False)) | F.coalesce(F.lower("p.origin").isin("vendored", "third-party", "third_party"), F.lit(False))
+    # of two nodes of one time the one that names an origin counts
+    order = F.struct(F.coalesce(F.col("updated_at").cast("long"), F.lit(0)).alias("at"), F.when(brought, 2).when(made, 1).otherwise(0).alias("k"))
+    newest = rows.select("repo_path", "file", order.alias("o")).groupBy("repo_path", "file").agg(F.max("o.at").alias("_at"), F.max("o").alias("_o"))
+    return newest.select("repo_path", "file", F.when(F.col("_o.k") == 2, "vendored").when(F.col("_o.k") == 1, "generated").alias("recorded")).where("recorded is not null")
+
+
+def measured_files(source_files: DataFrame) -> DataFrame:
+    """The measures of every row with a file_id and a content."""
+    rows = source_files.where(F.col("file_id").isNotNull() & F.col("content").isNotNull()).select("file_id", "repo_path", "file", "language", "content", F.xxhash64("repo_path", "file", "language", "content").alias("mark"))
+    return spread(rows).mapInPandas(_measure, MEASURES)
 
 
-def code_provenance(source_files: DataFrame) -> DataFrame:
+def code_provenance(source_files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """One row per file with a content: its kind (hand, generated, minified, vendored, data), the reason and the measures.
 
-    Rows without file_id or content are left out, copies of a row count once, an empty text is nobody's output (hand,
-    reason empty), an unknown language is judged by layout, head and path alone; extra columns are ignored.
+    ``nodes`` gives the properties recorded for files. Rows without file_id or content are left out; an empty text is
+    nobody's output (hand, unless something is stated of it); copies of a row count once, and where rows of one file_id
+    differ the one with the least fingerprint stands; an unknown language is judged without a model; extra columns are
+    ignored.
     """
-    rows = _texts(source_files).select("file_id", "repo_path", "file", "language", "content")
-    models = source_files.sparkSession.sparkContext.broadcast(train(source_files))
-    return spread(rows).mapInPandas(_judge(models), OUT).dropDuplicates(["file_id"])
+    measured = cut(measured_files(source_files))
+    models = source_files.sparkSession.sparkContext.broadcast(train(measured))
+    files = measured.drop("once").mapInPandas(_cost(models), SLIM)
+    # how the checkout's other files of the language write their names, from sums
+    style = ["camel_share", "snake_share", "capital_share"]
+    house = measured.groupBy(F.col("repo_path").alias("_r"), F.col("language").alias("_l")).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{c}") for c in style])
+    others = F.col("_n") - 1
+    foreign = sum((F.abs(F.col(c) - (F.col(f"_{c}") - F.col(c)) / F.greatest(others, F.lit(1))) for c in style), F.lit(0.0))
+    files = files.join(house, F.col("repo_path").eqNullSafe(F.col("_r")) & F.col("language").eqNullSafe(F.col("_l"))).withColumns({"other_files": others, "foreign_style": foreign})
+    if nodes is None:
+        files = files.withColumn("recorded", F.lit(None).cast("string"))
+    else:
+        told = recorded_origins(nodes).select(F.col("repo_path").alias("_nr"), F.col("file").alias("_nf"), "recorded")
+        files = files.join(told, (F.col("repo_path") == F.col("_nr")) & (F.col("file") == F.col("_nf")), "left")
+    kind, reason = verdict()
+    one = F.struct(kind.alias("kind"), reason.alias("reason"), *OUT)
+    return files.groupBy("file_id").agg(F.min_by(one, "mark").alias("m")).select("file_id", "m.*")
+
+
+#: Measures given with the verdict.
+OUT = ["repo_path", "file", "language", "bits", "excess_bits", "diversity", "foreign_style", "other_files", "short_names", "camel_share", "literal_share"]

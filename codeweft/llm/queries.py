@@ -22,11 +22,11 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return code_provenance(table(spark, d, "source_files")).where("kind <> 'hand'").select("file_id")
+    return code_provenance(table(spark, d, "source_files"), table(spark, d, "nodes")).where("kind <> 'hand'").select("file_id")
 
 
 def p4_files(spark: SparkSession, d: str) -> DataFrame:
-    return code_provenance(table(spark, d, "source_files"))
+    return code_provenance(table(spark, d, "source_files"), table(spark, d, "nodes"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from codeweft.functions.lexing import scan
@@ -242,8 +243,49 @@ def test_provenance(spark):
     assert cp.code_provenance(spark.createDataFrame([], FILES)).count() == 0
 
 
+def test_recorded_origins(spark):
+    rows, _, _ = provenance_rows()
+    props = ['{"generated": true, "language": "js"}', '{"generated": false}', '{"generated_by": "stubsmith"}', '{"generated_by": null}', '{"generator": {"tool": "sqlknit", "rev": 2}}', '{"origin": "generated"}', '{"origin": "manual"}', '{"vendored": true}', "null", "no json"]
+    nodes = [("r", f"n{k}", rows[k][2], p, 1, "x") for k, p in enumerate(props)]
+    nodes += [("r", "m3", rows[3][2], '{"generated_by": "old"}', 0, "x"), ("other", "n1", rows[1][2], props[0], 9, "x"), ("r", "n0", None, props[0], None, "x"), (None, "n1", rows[1][2], props[0], 9, "x"), ("r", "n9", rows[9][2], None, None, "x")]
+    table = spark.createDataFrame(nodes, "repo_path string, id string, file string, properties string, updated_at bigint, content string")
+    got = {r.file_id: (r.kind, r.reason) for r in cp.code_provenance(spark.createDataFrame(rows, FILES), table).collect()}
+    assert {k: v[0] for k, v in got.items() if v[1] == "recorded"} == {0: "generated", 2: "generated", 4: "generated", 5: "generated", 7: "vendored"}
+    assert got[100][0] == "minified" and got[1] == got[3] == got[6] == got[9] == ("hand", "")
+    assert cp.recorded_origins(table.limit(0)).count() == 0
+
+
+def test_foreign_style_and_templates(spark):
+    words = ["Ledger", "Carrier", "Manifest", "Window", "Digest", "Signal", "Bucket", "Tariff", "Journal", "Schema"]
+    rows = [(k, "r", f"src/{w.lower()}.js", None, HAND.format(w), "x") for k, w in enumerate(words)]
+    rows.append((50, "r", "src/odd.js", None, "".join(f"function merge_the_{w.lower()}(other_one) {{ return other_one.next_{w.lower()}; }}\n" for w in words), "x"))
+    rows.append((51, "r", "src/rows.js", None, "collectLedgerWindow(budget, partialLedger); resolveLedger(budget);\n" * 60, "x"))
+    got = {r.file_id: (r.kind, r.reason) for r in cp.code_provenance(spark.createDataFrame(rows, FILES)).collect()}
+    assert got.pop(50) == ("vendored", "foreign style") and got.pop(51) == ("generated", "template-like names") and set(got.values()) == {("hand", "")}
+
+
+def test_of_differing_rows_of_one_id_always_the_same_stands(spark):
+    rows = [(1, "r", "a.js", None, HAND.format(w), "x") for w in ("Ledger", "Order")] + [(1, "r", "vendor/a.js", None, HAND.format("Order"), "x")]
+    seen = {tuple(cp.code_provenance(spark.createDataFrame(p, FILES)).first()) for p in (rows, rows[::-1])}
+    assert len(seen) == 1
+
+
+@pytest.mark.parametrize(("head", "kind"), [
+    (["// Code generated by x; the output is checked in. DO NOT EDIT."], "generated"), (["// protoc-gen-go v1.28.1"], "generated"), (["// left-pad v1.3.0", "// https://example.invalid/left-pad"], "vendored"),
+    (["// Copied verbatim from a/b 1.2, see its LICENSE."], "vendored"), (["// not generated by anything"], ""), (["// Emits the generated stubs."], ""), (["// Copyright us."], ""), ([], ""),
+])
+def test_what_heads_state(head, kind):
+    assert cp.stated(head) == kind
+
+
 def test_name_model_tells_mangled_names():
-    model = cp.NameModel({g: c for g, c in __import__("collections").Counter(cp.symbols(w)[k - 2 : k + 1] for w in ["collectWindow", "resolveLedger", "mergeOrder", "ledgerWindow"] * 20 for k in range(2, len(cp.symbols(w)))).items()})
-    C = __import__("collections").Counter
-    assert model.cost(C(["qxz", "vkj", "zq"])) > model.cost(C(["mergeWindow", "collectLedger"])) + 1
-    assert model.cost(C()) == 0.0
+    def counts(names):
+        return np.unique(np.concatenate([cp.grams(n) for n in names]), return_counts=True)
+
+    n = np.zeros(cp.GRAMS)
+    ids, c = counts(["collectWindow", "resolveLedger", "mergeOrder", "ledgerWindow"] * 20)
+    n[ids] = c
+    model = cp.NameModel(n)
+    assert model.cost(*counts(["qxz", "vkj", "zq"])) > model.cost(*counts(["mergeWindow", "collectLedger"])) + 1
+    assert model.cost(np.empty(0, int), np.empty(0, int)) == 0.0 and cp.NameModel(np.zeros(cp.GRAMS)).mean == 0.0
+    assert max(cp.grams("ß$_Z9")) < cp.GRAMS
