@@ -1,6 +1,6 @@
 """Mixing sources to target shares of a total size.
 
-Each document gets a weighted exponential key, ``-ln(u) / weight``; ascending keys are a weighted random order without
+Each document gets a weighted exponential key, ``-ln(u) / weight``, its weight being its share of running text; ascending keys are a weighted random order without
 replacement. A source whose budget exceeds its size is taken whole as often as it fits, then the documents first in
 order fill the rest. Running sums are formed within range partitions of (source, key) and carried over by the
 partitions' totals, so a source holding most documents is spread like any other.
@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.llm.text_quality import prose_share
 from codeweft.runtime import cut, shuffle_partitions, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: Weight of a document without letters; one that is all letters has 1.
+#: Weight of a document without running text; one that is all running text has 1.
 LEAST_WEIGHT = 0.1
 
 
@@ -28,6 +29,8 @@ def canonical_source(c: Column | str) -> Column:
 
 
 def _size(tokenizer):
+    """Tokens and quality of each text, both from the one time it is read."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -37,32 +40,33 @@ def _size(tokenizer):
         for b in batches:
             texts = [x or "" for x in b["text"]]
             yield pd.DataFrame({
-                "doc_id": b["doc_id"], "source": b["source"],
-                "tokens": [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)], "weight": b["weight"],
+                "doc_id": b["doc_id"], "source": b["source"], "mark": b["mark"],
+                "tokens": [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)], "weight": [quality_weight(x) for x in texts],
             })
 
     return run
 
 
-def quality_weight(text: Column | str) -> Column:
-    """Squared share of letters among what is not blank: low for tables, logs, dumps and noise. Null texts have the least."""
-    c = F.col(text) if isinstance(text, str) else text
-    solid = F.length(F.regexp_replace(c, r"\s+", ""))
-    share = F.length(F.regexp_replace(c, r"[^\p{L}]+", "")) / F.nullif(solid, F.lit(0))
-    return F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(share * share, F.lit(0.0)))
+def quality_weight(text: str | None) -> float:
+    """Share of a text's characters in running sentences, as ``text_quality`` finds it, and never less than ``LEAST_WEIGHT``."""
+    return max(LEAST_WEIGHT, prose_share(text or ""))
 
 
 def sized(documents: DataFrame, tokenizer_path: str = TOKENIZER, seed: int = 42) -> DataFrame:
-    """(doc_id, source, tokens, key) of every document with an id, a source and at least one token, each once."""
+    """(doc_id, source, tokens, weight, key) of every document with an id, a source and at least one token, each once.
+
+    Where rows of one doc_id differ, the one with the least fingerprint of source and text stands.
+    """
     with open(tokenizer_path, "rb") as f:
         tokenizer = documents.sparkSession.sparkContext.broadcast(f.read())
-    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", canonical_source(F.col("source")).alias("source"), "text", quality_weight("text").alias("weight")).where(F.col("source").isNotNull())
+    source = canonical_source(F.col("source"))
+    rows = documents.where(F.col("doc_id").isNotNull() & source.isNotNull()).select("doc_id", source.alias("source"), "text", F.xxhash64(source, "text").alias("mark"))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(2**53)
     return (
-        spread(rows).mapInPandas(_size(tokenizer), "doc_id bigint, source string, tokens bigint, weight double")
+        spread(rows).mapInPandas(_size(tokenizer), "doc_id bigint, source string, mark bigint, tokens bigint, weight double")
         .where("tokens > 0")
-        .select("doc_id", "source", "tokens", (-F.log(u) / F.col("weight")).alias("key"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id").agg(*[F.min_by(c, "mark").alias(c) for c in ("source", "tokens", "weight")])
+        .select("doc_id", "source", "tokens", "weight", (-F.log(u) / F.col("weight")).alias("key"))
     )
 
 

@@ -1,15 +1,26 @@
 """Per-document statistics that tell prose from lists, tables, dumps and junk.
 
-Layout comes first: delimiters that stand in the same number (or column gaps at the same place) line after line make a
-table, repeated markers or line shapes a list, log or trace, and the autocorrelation of line lengths and indentations
-tells regular records from wrapped text. What is left is judged as running text by common words, sentence ends, symbols
-and repetition. A document is prose when running sentences make up at least half of its characters.
+A document is cut into stretches: lines that belong together because no blank line lies between them and because they
+either all line up with their neighbours or all do not. For every stretch the layout is measured:
+
+* vertical alignment: how much of a line's delimiters, wide gaps, list markers and tree strokes stand in the same order,
+  or in the same column, as those of a line before or after it;
+* indentation period: the autocorrelation of the lines' indentation;
+* length period: the autocorrelation of the lines' lengths.
+
+These speak for lists, tables and records. Word, symbol and punctuation ratios speak for or against running text: words
+of ordinary length made of letters, sentences of ordinary length with proper ends, few symbols, no word pairs over and
+over. The two sides are weighed against each other for each stretch (``WEIGHTS``), and a document is prose when the
+stretches that read as running text make up at least half of its characters. No word list is needed for this; words that
+are common in the corpus languages only add to the side of the text.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,154 +37,215 @@ COMMON = frozenset(
     "le les des du et ou où est sont été être ne pas ce cette ces il elle ils elles on nous vous je tu qui dans sur pour par avec sans au aux plus mais comme si leur leurs son sa ses".split()
 )
 
-_BULLET = re.compile(r"^\s*(?:[-*+•‣◦·–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\[[ xX]\])\s+")
-_DRAWN = re.compile(r"^[\s]*(?:[│├└┌─┬┴┼|+`\\][\s─│├└|+\\`-]*(?:──|--|\|)|[│├└┌])")
-_RULE = re.compile(r"^[\s\W_]+$")
-_FENCE = re.compile(r"^\s*(?:```|~~~)")
-_SENTENCE_END = re.compile(r"[^\W\d_]{2,}[\"')\]]*[.!?…]+[\"')\]]*(?=\s|$)")
-_GAP, _MARKED, _LETTERS, _DIGITS, _WORDS_TOGETHER, _TELLING = (re.compile(x) for x in (r"(?<=\S) {2,}(?=\S)", r"\d|_|[^\s\w.,'’]", r"[^\W\d_]+", r"\d+", r"a(?:[ _]a)+", r"[^\sa.,'’]"))
-_GLUED = re.compile(r"[\w)]+[:(/\\=]\w")
-_LETTER = re.compile(r"[^\W\d_]")
-_NOT_LETTERS, _NOT_SYMBOLS, _NOT_DIGITS = re.compile(r"[\W\d_]+"), re.compile(r"[\w\s]+"), re.compile(r"\D+")
+#: What a stretch's signals weigh. Layout on one side, running text on the other; prose where text minus layout is above LIMIT.
+WEIGHTS = {"alignment": 1.2, "indent_period": 0.6, "length_period": 0.6, "symbols": 3.0, "repetition": 2.0, "words": 0.5, "rhythm": 0.6, "common": 0.5}
+LIMIT = 0.3
+#: Share of a line's marks that has to line up with a neighbour's for the line to belong to a layout.
+ALIGNED = 0.6
+
+_BULLET = re.compile(r"[ \t]*(?:[-*+•‣◦·–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\[[ xX]\])\s+")
+_FENCE = re.compile(r"\s*(?:```|~~~)")
+# Marks of a line: what is neither letter, digit nor blank, wide gaps and tabs. Quotes, apostrophes, hyphens inside words and full stops at the end are writing.
+_MARK = re.compile(r"[^\w\s'\"’“”„«»¿¡…!?.,-]|_|(?<=\w)[.,](?=\w)|,|(?<![^\W_])-|-(?![^\W_])| {2,}(?=\S)|\t")
+_END = re.compile(r"(?<=[^\W_])[\"')\]»”]*[.!?…؟।]+[\"')\]»”]*(?=\s|$)|[。！？]")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_DELIMITERS = "|\t;,=:"
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0eff\u1780-\u17ff]")
+_UNPUNCTUATED = re.compile(r"[\u0e00-\u0eff\u1780-\u17ff]")  # Thai, Lao and Khmer: a blank ends a clause, nothing else does
+#: Vowel signs and accents written as signs of their own; without them a word of such a script is one run of letters.
+_COMBINING = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x1E000) if unicodedata.category(chr(c)) in ("Mn", "Mc")) + "]")
+_LETTERLESS, _SYMBOLLESS, _DIGITLESS = re.compile(r"[\W\d_]+"), re.compile(r"[\w\s]+"), re.compile(r"\D+")
 
 
-def _signature(line: str) -> tuple:
-    """How often each delimiter stands in a line, and where wide gaps end."""
-    return tuple(line.count(d) for d in _DELIMITERS), tuple(m.end() for m in _GAP.finditer(line)) if "  " in line else ()
+def autocorrelation(x: np.ndarray) -> float:
+    """Greatest autocorrelation of a series over lags up to a third of its length; 1 where it does not vary, 0 where it is short."""
+    n = len(x)
+    if n < 6:
+        return 0.0
+    x = x - x.mean()
+    power = float(x @ x)
+    if power <= 1e-9:
+        return 1.0
+    f = np.fft.rfft(x, 2 * n)
+    whole = np.fft.irfft(f * f.conj(), 2 * n)[1 : n // 3 + 1]
+    # each lag against the power of the two pieces it compares, so long periods are not at a disadvantage
+    return float((whole / (power * (n - np.arange(1, n // 3 + 1)) / n)).max())
 
 
-def _shape(line: str) -> str:
-    """A line's outline: digits as 9, letters as a, kept marks; only outlines with marks or digits tell anything."""
-    if not _MARKED.search(line):
-        return ""
-    s = _WORDS_TOGETHER.sub("a", _LETTERS.sub("a", _DIGITS.sub("9", line.strip())))[:24]
-    return s if _TELLING.search(s[:-1]) else ""
+@dataclass(slots=True)
+class Line:
+    text: str
+    indent: int
+    solid: int
+    marks: list[tuple[str, int]]
+    bullet: int  # where a list item's text begins; 0 where the line is none
 
 
-def _autocorrelation(x: np.ndarray, lags: int = 4) -> float:
-    """Greatest autocorrelation of a series over small lags, 0 where it is too short or constant."""
-    if len(x) < 6:
-        return 0.0
-    x = x - x.mean()
-    power = float((x * x).sum())
-    if power == 0:
+def _line(x: str) -> Line:
+    m = _BULLET.match(x)
+    stripped = x.strip()
+    marks = [(" " if (s := k.group())[0] == " " else s, k.end()) for k in _MARK.finditer(x, len(x) - len(x.lstrip()))]
+    return Line(x, len(x) - len(x.lstrip()), len(stripped) - stripped.count(" "), marks, m.end() if m else 0)
+
+
+def _alike(a: Line, b: Line) -> float:
+    """Share of the marks of two lines that line up: the same mark at the same place in order, or ending in the same column."""
+    if a.bullet and b.bullet and a.indent == b.indent:
         return 1.0
-    return max(float((x[k:] * x[:-k]).sum()) / power for k in range(1, lags + 1))
+    if not a.marks or not b.marks:
+        return 0.0
+    x, y = [m for m, _ in a.marks], [m for m, _ in b.marks]
+    most = max(len(x), len(y))
+    if x == y:
+        hit = most
+    else:
+        hit = 0
+        for p, q in zip(x, y):
+            if p != q:
+                break
+            hit += 1
+        columns = {c: m for m, c in b.marks}
+        hit = max(hit, sum(columns.get(c) == m for m, c in a.marks))
+    if most == 1 and hit:
+        # one mark in both lines says little, unless it is in the same column or the lines hold little else
+        return 1.0 if (a.marks[0][1] == b.marks[0][1] and x != [","]) or max(len(a.text.split()), len(b.text.split())) <= 4 else 0.0
+    if hit == most and set(x) <= {","} and most < 3 and a.marks != b.marks:
+        return 0.0  # a comma or two in both lines is how sentences go
+    return hit / most
 
 
-def _running(text: str) -> bool:
-    """Whether a stretch of text reads as sentences."""
+def alignment(lines: list[Line]) -> list[float]:
+    """For each line the best likeness with one of the two lines before or after it."""
+    n = len(lines)
+    best = [0.0] * n
+    for k in range(n):
+        for j in (k + 1, k + 2):
+            if j < n and (best[k] < 1.0 or best[j] < 1.0):
+                v = _alike(lines[k], lines[j])
+                if v > best[k]:
+                    best[k] = v
+                if v > best[j]:
+                    best[j] = v
+    return best
+
+
+def text_side(text: str, n_lines: int = 1, w: dict[str, float] = WEIGHTS) -> tuple[float, int]:
+    """What words, symbols and punctuation of a stretch say for (positive) or against running text, and its number of words.
+
+    Short lines without sentence ends may be verse, captions or titles: for those only their layout tells.
+    """
+    if not text.isascii():
+        text = _COMBINING.sub("", text)
     tokens = text.split()
-    words = [w for t in text.lower().split() if (w := t.strip(".,;:!?\"'()[]{}*_`…“”«»¿¡")) and (w.isalpha() or _LETTER.search(w))]
-    if len(words) < 4:
-        return False
     solid = sum(map(len, tokens))
-    letters = len(_NOT_LETTERS.sub("", text))
-    if letters < 0.65 * solid or solid > 14 * len(tokens):
-        return False
+    if not solid:
+        return 0.0, 0
+    words = _WORD.findall(text.lower())
+    letters = len(_LETTERLESS.sub("", text))
+    wide = len(_WIDE.findall(text))
+    n = max(1, len(words), wide // 2)  # scripts without blanks: two signs a word
+    length = letters / n
+    # words: letters, in tokens of ordinary length
+    likely = letters >= 0.65 * solid and 1.5 <= length <= 14 and (wide > 0.3 * solid or solid <= 14 * len(tokens))
+    symbols = max(0.0, (solid - letters) / solid - 0.12)
+    # rhythm: sentences of ordinary length; a stretch too short for one may do without
+    ends = len(_END.findall(text))
+    if not ends and wide > 0.3 * solid and len(_UNPUNCTUATED.findall(text)) > 0.3 * solid:
+        ends = len(tokens)
+    if n < 9 or (not ends and n < 6 * n_lines):
+        rhythm = 0.6 if ends else 0.0
+    else:
+        rhythm = 1.0 if ends and 3 <= n / ends <= 48 else -0.5
+    repeated = 0.0
     if len(words) >= 16:
-        pairs = list(zip(words, words[1:]))
-        if len(set(pairs)) < 0.35 * len(pairs):
-            return False
-    common = sum(w in COMMON for w in words) / len(words)
-    if common >= 0.14:
-        return True
-    # a language without a word list: sentences of usual length with proper ends
-    ends = len(_SENTENCE_END.findall(text))
-    return ends > 0 and common > 0 and 5 <= len(words) / ends <= 45 and len(set(words)) > 0.5 * len(words)
+        repeated = max(0.0, 0.6 - len(set(zip(words, words[1:]))) / (len(words) - 1))
+    common = min(1.0, sum(x in COMMON for x in words) / len(words) / 0.25) if words else 0.0
+    score = w["words"] * (1.0 if likely else -1.0) + w["rhythm"] * rhythm + w["common"] * common - w["symbols"] * symbols - w["repetition"] * repeated
+    return score, n
+
+
+@dataclass(slots=True)
+class Stretch:
+    kind: str  # text, layout, fence
+    lines: list[Line]
+    aligned: list[float]
+
+
+def _stretches(raw: list[str]) -> tuple[list[Stretch], list[Line], list[float]]:
+    lines = [_line(x) for x in raw if x.strip()]
+    aligned = alignment(lines)
+    out: list[Stretch] = []
+    fenced, k, fresh = False, 0, True
+    for x in raw:
+        if not x.strip():
+            fresh = True
+            continue
+        line, own, k = lines[k], aligned[k], k + 1
+        if _FENCE.match(x):
+            fenced, fresh = not fenced, True
+            continue
+        kind = "fence" if fenced else "layout" if own >= ALIGNED else "text"
+        if fresh or out[-1].kind != kind:
+            out.append(Stretch(kind, [], []))
+        out[-1].lines.append(line)
+        out[-1].aligned.append(own)
+        fresh = False
+    return out, lines, aligned
+
+
+def _read(s: Stretch, w: dict[str, float]) -> float:
+    """Text minus layout of a stretch."""
+    joined = " ".join(x.text[x.bullet :].strip() for x in s.lines)
+    n_lines = len(s.lines)
+    says, n = text_side(joined, n_lines, w)
+    if n_lines == 1:
+        # alone on a line what lines up with a neighbour elsewhere is a row only if it does not read as a sentence
+        return says - w["alignment"] * s.aligned[0] * (0.5 if n >= 7 else 1.0)
+    ended = sum(1 for x in s.lines if x.text.rstrip("\"')]»”").endswith((".", "!", "?", "…", "。", "！", "？")))
+    # lines that end sentences are less likely rows
+    rows = sum(s.aligned) / n_lines * (1.0 if ended < 0.5 * n_lines else 0.5)
+    lengths = np.array([len(x.text) for x in s.lines], float)
+    indents = np.array([x.indent for x in s.lines], float)
+    length_period = max(0.0, autocorrelation(lengths)) if n / n_lines < 6 else 0.0  # wrapped text has full lines
+    indent_period = max(0.0, autocorrelation(indents)) if indents.any() else 0.0
+    return says - w["alignment"] * rows - w["length_period"] * length_period - w["indent_period"] * indent_period
 
 
 STATS = [
     ("n_chars", "int"), ("n_words", "int"), ("n_lines", "int"), ("mean_word_length", "double"), ("symbol_ratio", "double"), ("digit_ratio", "double"), ("punctuated_line_share", "double"),
-    ("common_word_share", "double"), ("bullet_line_share", "double"), ("table_line_share", "double"), ("shaped_line_share", "double"), ("length_autocorrelation", "double"),
+    ("common_word_share", "double"), ("bullet_line_share", "double"), ("aligned_line_share", "double"), ("alignment", "double"), ("length_autocorrelation", "double"),
     ("indent_autocorrelation", "double"), ("repeated_pair_share", "double"), ("prose_share", "double"), ("is_prose", "boolean"),
 ]
 
 
-def statistics(text: str | None) -> tuple:
+def prose_share(text: str, weights: dict[str, float] = WEIGHTS) -> float:
+    """Share of a text's characters in stretches that read as running text."""
+    raw = [x.rstrip() for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+    solid = sum(map(len, text.split()))
+    return _share(_stretches(raw)[0], solid, weights) if solid else 0.0
+
+
+def _share(stretches: list[Stretch], solid: int, w: dict[str, float]) -> float:
+    held = sum(x.solid for s in stretches if s.kind != "fence" and _read(s, w) > LIMIT for x in s.lines)
+    return min(1.0, held / solid)
+
+
+def statistics(text: str | None, weights: dict[str, float] = WEIGHTS) -> tuple:
     """Values of ``STATS`` for one text. Null and blank texts have zeros and are not prose."""
     text = text or ""
-    solid_chars = sum(map(len, text.split()))
-    if not solid_chars:
+    solid = sum(map(len, text.split()))
+    if not solid:
         return (len(text), 0, 0, *[0.0] * 12, False)
     raw = [x.rstrip() for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
-    lines = [x for x in raw if x.strip()]
-    n = len(lines)
-    words = _WORD.findall(text.lower())
-
-    # table: the same delimiters, or the same gaps, as the line before or after
-    signs = [_signature(x) for x in lines]
-    rows = [False] * n
-    for k in range(1, n):
-        (a, ga), (b, gb) = signs[k - 1], signs[k]
-        same = any(x == y and x >= (2 if d in "|,;:=" else 1) for d, x, y in zip(_DELIMITERS, a, b)) or bool(set(ga) & set(gb))
-        single = any(x == y == 1 for d, x, y in zip(_DELIMITERS, a, b) if d in ":=|") and len(lines[k].split()) <= 4 and len(lines[k - 1].split()) <= 4
-        if same or single:
-            rows[k - 1] = rows[k] = True
-    # runs under three lines are chance
-    table, k = [False] * n, 0
-    while k < n:
-        e = k
-        while e < n and rows[e]:
-            e += 1
-        if e - k >= 3:
-            table[k:e] = [True] * (e - k)
-        k = max(e, k + 1)
-    shapes = [_shape(x) for x in lines]
-    shaped = [bool(s) and ((k > 0 and shapes[k - 1] == s) or (k + 1 < n and shapes[k + 1] == s)) for k, s in enumerate(shapes)]
-    bullet = [bool(_BULLET.match(x)) for x in lines]
-    drawn = [bool(_DRAWN.match(x)) or bool(_RULE.match(x)) for x in lines]
-
-    # running text: neighbouring lines that no layout claims, judged together; list items one by one
-    prose = kept = 0
-    fenced, block = False, []
-
-    def close() -> int:
-        joined = " ".join(block)
-        size = sum(map(len, joined.split()))
-        block.clear()
-        return size if size and _running(joined) else 0
-
-    k = 0
-    for x in raw:
-        if not x.strip():
-            prose += close()
-            continue
-        j, k = k, k + 1
-        if _FENCE.match(x):
-            fenced = not fenced
-            prose += close()
-            continue
-        kept += 1
-        if fenced or drawn[j]:
-            prose += close()
-            continue
-        if bullet[j]:
-            prose += close()
-            block.append(_BULLET.sub("", x))
-            continue
-        # a row or record only counts as one if it does not read as a sentence by itself
-        if (table[j] or shaped[j]) and not (_running(x) and len(x.split()) >= 7 and not _GLUED.search(x)):
-            prose += close()
-            continue
-        block.append(x.strip())
-    prose += close()
-
-    pairs = list(zip(words, words[1:]))
-    lengths, indents = np.array([len(x) for x in lines], float), np.array([len(x) - len(x.lstrip()) for x in lines], float)
-    length_ac = _autocorrelation(lengths)
-    indent_ac = _autocorrelation(indents) if indents.any() else 0.0
-    share = prose / solid_chars
-    symbols = (len(_NOT_SYMBOLS.sub("", text)) + text.count("_")) / solid_chars
-    punctuated = sum(x.rstrip("\"')]").endswith((".", "!", "?", "…", ":", ";")) for x in lines) / n
-    common = sum(w in COMMON for w in words) / max(1, len(words))
-    # records of a regular layout need more running text than half to pass
-    regular = n >= 8 and (length_ac > 0.6 or indent_ac > 0.6) and punctuated < 0.2
+    stretches, lines, aligned = _stretches(raw)
+    n, words = len(lines), _WORD.findall((text if text.isascii() else _COMBINING.sub("", text)).lower())
+    share = _share(stretches, solid, weights)
+    pairs = len(words) - 1
+    indents = np.array([x.indent for x in lines], float)
     return (
-        len(text), len(words), n, sum(map(len, words)) / max(1, len(words)), symbols, len(_NOT_DIGITS.sub("", text)) / solid_chars, punctuated, common, sum(bullet) / n, sum(table) / n,
-        sum(shaped) / n, length_ac, indent_ac, 1 - len(set(pairs)) / len(pairs) if pairs else 0.0, share, share >= (0.6 if regular else 0.5),
+        len(text), len(words), n, sum(map(len, words)) / max(1, len(words)), (len(_SYMBOLLESS.sub("", text)) + text.count("_")) / solid, len(_DIGITLESS.sub("", text)) / solid,
+        sum(x.text.rstrip("\"')]").endswith((".", "!", "?", "…", ":", ";")) for x in lines) / n, sum(w in COMMON for w in words) / max(1, len(words)), sum(x.bullet > 0 for x in lines) / n,
+        sum(a >= ALIGNED for a in aligned) / n, sum(aligned) / n, autocorrelation(np.array([len(x.text) for x in lines], float)), autocorrelation(indents) if indents.any() else 0.0,
+        1 - len(set(zip(words, words[1:]))) / pairs if pairs > 0 else 0.0, share, share >= 0.5,
     )
 
 

@@ -8,8 +8,8 @@ from hypothesis import strategies as st
 
 from codeweft.llm import leakage
 from codeweft.llm.leakage import WORD, build, leak_pairs, leaks, remove_leaks
-from codeweft.llm.mixing import TOKENIZER, canonical_source, mix, plan, shares, sized
-from codeweft.llm.text_quality import STATS, statistics, text_quality
+from codeweft.llm.mixing import LEAST_WEIGHT, TOKENIZER, canonical_source, mix, plan, quality_weight, shares, sized
+from codeweft.llm.text_quality import STATS, WEIGHTS, autocorrelation, prose_share, statistics, text_quality
 
 DOCS = "doc_id bigint, text string, source string, tokens string"
 
@@ -87,6 +87,43 @@ def test_not_prose(text):
     assert not statistics(text)[-1]
 
 
+@pytest.mark.parametrize("text", [
+    "Если журнал отсутствует, перевозчик пропускается, и в отчёте появляется предупреждение. Мы измерили двенадцать миллисекунд для локального окна, что меня удивило.",
+    "如果账本丢失,系统会跳过载体,并在构建报告中显示警告。我们测得本地窗口需要十二毫秒,这让我感到惊讶。", "यदि खाता बही गायब है, तो वाहक को छोड़ दिया जाता है और निर्माण रिपोर्ट में एक चेतावनी दिखाई देती है। हमने स्थानीय विंडो के लिए बारह मिलीसेकंड मापा।",
+    "หากบัญชีแยกประเภทหายไป ผู้ให้บริการจะถูกข้ามไปและคำเตือนจะปรากฏในรายงานการสร้าง เราวัดได้สิบสองมิลลิวินาทีสำหรับหน้าต่างท้องถิ่น", "إذا كان السجل مفقودا، يتم تخطي الناقل ويظهر تحذير في تقرير البناء. لقد قمنا بقياس اثني عشر ميلي ثانية.",
+    "Jeśli brakuje rejestru, przewoźnik jest pomijany, a w raporcie pojawia się ostrzeżenie.",
+])
+def test_prose_without_a_word_list(text):
+    assert statistics(text)[-1] and statistics(text, {**WEIGHTS, "common": 0})[-1]
+
+
+RECORDS = "\n".join(f"{a}\nThe Old Bakery Street\nTown" for a in ("Mary Smith", "Jo Brown", "Al Gray", "Su Green", "Bo White", "Ed Black", "Di Reed", "Ty Long"))
+OUTLINE = "\n".join(f"{a} office\n    {b} people\n    rather {c} people" for a, b, c in zip(("Mary", "Johanna", "Al", "Susan", "Bo", "Edward", "Di", "Tyrone"), ("old", "oldest", "new", "newest", "big", "biggest", "bad", "worst"), ("grown", "red", "green", "blue", "amber", "tall", "thin", "calm")))
+
+
+def test_each_layout_signal_decides_alone():
+    rows = "\n".join(f"- {x}" for x in ("local window", "a bucket that nobody owns", "ledger", "the carrier", "most of the other signals"))
+    for text, signal in ((rows, "alignment"), (RECORDS, "length_period"), (OUTLINE, "indent_period")):
+        assert not statistics(text)[-1]
+        others = {**WEIGHTS, "alignment": 0, "indent_period": 0, "length_period": 0}
+        assert statistics(text, others)[-1] and not statistics(text, {**others, signal: WEIGHTS[signal]})[-1], signal
+
+
+def test_autocorrelation_finds_long_periods():
+    import numpy as np
+
+    for period in (2, 5, 7):
+        x = np.array(([0.0] + [2.0] * (period - 1)) * 6)
+        assert autocorrelation(x) > 0.9
+    assert autocorrelation(np.ones(9)) == 1.0 and autocorrelation(np.array([1.0, 2.0])) == 0.0
+
+
+def test_quality_weight():
+    table = "| a | b | count |\n|---|---|---:|\n" + "\n".join(f"| row{k} | local | {k * 37} |" for k in range(12))
+    assert quality_weight(PROSE) == 1.0 and quality_weight(table) == quality_weight(None) == LEAST_WEIGHT
+    assert abs(quality_weight(PROSE + "\n\n" + table) - prose_share(PROSE + "\n\n" + table)) < 1e-9 < 0.3
+
+
 def test_statistics_rows(spark):
     rows = [(1, PROSE, None, "x"), (1, PROSE, None, "x"), (2, None, None, "x"), (None, PROSE, None, "x"), (3, "word " * 200_000, None, "x")]
     got = text_quality(spark.createDataFrame(rows, DOCS))
