@@ -1,11 +1,12 @@
 """Functions with the documentation that describes them.
 
-A file gives functions and comments. A comment is a candidate for a function if nothing but blank lines, annotations
-and other comments lies between them, or if it opens the function's body. Candidates get a cost from distance, form
-(the language's documentation form against a plain comment), parameter tags that name or miss the function's parameters,
-and mention of the function's name; a minimum-cost bipartite assignment gives each function at most one comment and each
-comment at most one function. Links whose form or position the language does not take for documentation cost more than
-``REJECT`` and fall away, then descriptions that say nothing.
+A file gives functions and comments. Every comment before a function, and the string that opens its body, is a candidate
+for it as long as distance alone does not rule it out. A link costs what speaks against it: lines and foreign code in
+between, a place that is not where the language's tools look for documentation, parameter tags that name no parameter,
+the name of another function. Tags that name the function's parameters and mention of its own name lower the cost. Links
+at ``REJECT`` or above are implausible and dropped; over the rest a minimum-cost bipartite assignment gives each function
+at most one comment and each comment at most one function. An exact check then keeps links that are documentation as the
+language defines it, and descriptions that say something.
 """
 
 from __future__ import annotations
@@ -15,14 +16,20 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codeweft.functions.declarations import Function, functions
 from codeweft.functions.lexing import Token, language_of, normalise, scan
 from codeweft.runtime import spread
 
-REJECT = 10.0
+#: Cost from which a link is implausible.
+REJECT = 3.0
+#: What a line in between, a line of foreign code in between, a place that is not the language's, wrong parameter tags and
+#: the name of another function cost; right tags and the own name take off as much.
+COSTS = {"line": 0.2, "code": 0.8, "place": 2.0, "tags": 0.5, "names": 0.5}
 #: Different words a description must keep.
 LEAST_WORDS = 4
 
@@ -41,6 +48,7 @@ class Pair:
     text: str
     form: str
     cost: float
+    documents: bool  # whether the exact check holds
     plain: str = field(default="")
 
 
@@ -67,66 +75,66 @@ _BETWEEN = re.compile(r"(?:\s*@(?!interface\b)[\w.$]+(?:\s*\((?:[^()]|\((?:[^()]
 _DOCSTRING = re.compile(r"[rRuU]{0,2}[\"']")
 
 
-def _candidates(f: Function, comments: list[Comment], starts: list[int], strings: dict[int, Token], text: str, code: str, language: str) -> Iterator[tuple[Comment, float]]:
-    """Comments near a function and what speaks against them as its documentation."""
+def _candidates(f: Function, comments: list[Comment], starts: list[int], strings: dict[int, Token], text: str, code: str, language: str, w: dict[str, float]) -> Iterator[tuple[Comment, float, bool]]:
+    """Comments near a function, what their distance and place cost, and whether the language takes them for its documentation."""
     k = bisect.bisect_left(starts, f.start) - 1
     nearest = True
-    while k >= 0 and comments[k].end > f.head - 1 and comments[k].start >= f.head - 1 or k >= 0 and not code[comments[k].end : f.start].strip():
+    while k >= 0:
         c = comments[k]
         between = code[c.end : f.start]
-        cost = 0.1 * text.count("\n", c.end, f.start)
+        lines = text.count("\n", c.end, f.start)
+        foreign = 0
+        if between.strip():
+            if language not in ("go", "python") and _BETWEEN.fullmatch(between):
+                lines = 1  # annotations belong to the declaration
+            else:
+                foreign = sum(1 for x in between.split("\n") if x.strip())
+        cost = w["line"] * max(0, lines - 1) + w["code"] * foreign
+        if cost >= REJECT:
+            break
         if language == "go":
-            touching = text[c.end : f.start].count("\n") == 1 and not between.strip() and not text[text.rfind("\n", 0, c.start) + 1 : c.start].strip()
-            cost += 0 if touching and nearest else REJECT
-        elif language == "python":
-            cost += REJECT
+            right = nearest and lines == 1 and not foreign and not text[text.rfind("\n", 0, c.start) + 1 : c.start].strip()
         else:
-            cost += 0 if c.form == "doc" and nearest and _BETWEEN.fullmatch(between) else REJECT
-        yield c, cost
+            right = language != "python" and nearest and c.form == "doc" and not foreign
+        yield c, cost + (0.0 if right else w["place"]), right
         nearest = False
         k -= 1
-        if cost >= REJECT and language == "python":
-            break
     if language == "python":
         at = f.end
         while m := _REMARK.match(text, at):
             at = m.end()
         at = _BLANKS.match(text, at).end()
         if (t := strings.get(at)) and _DOCSTRING.match(text, at):
-            yield Comment([t], t.start, t.end, "docstring"), 0.0
+            yield Comment([t], t.start, t.end, "docstring"), 0.0, True
 
 
 # --- assignment ------------------------------------------------------------------------------------------------
 
 def assign(costs: list[list[float]]) -> list[int]:
     """Minimum-cost assignment of rows to different columns (rows <= columns): the column of each row. O(n^2 m)."""
-    n, m = len(costs), len(costs[0])
-    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    cost = np.asarray(costs, float)
+    n, m = cost.shape
+    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
     for i in range(1, n + 1):
         match[0], j0 = i, 0
-        least, used, way = [float("inf")] * (m + 1), [False] * (m + 1), [0] * (m + 1)
+        least, used, way = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
         while True:
             used[j0] = True
-            i0, delta, j1 = match[j0], float("inf"), 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    c = costs[i0 - 1][j - 1] - u[i0] - v[j]
-                    if c < least[j]:
-                        least[j], way[j] = c, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
+            free = np.flatnonzero(~used[1:]) + 1
+            reduced = cost[match[j0] - 1, free - 1] - u[match[j0]] - v[free]
+            better = reduced < least[free]
+            least[free[better]], way[free[better]] = reduced[better], j0
+            j1 = int(free[least[free].argmin()])
+            delta = least[j1]
+            u[match[used]] += delta
+            v[used] -= delta
+            least[free] -= delta
             j0 = j1
             if not match[j0]:
                 break
         while j0:
             match[j0] = match[way[j0]]
-            j0 = way[j0]
+            j0 = int(way[j0])
     out = [-1] * n
     for j in range(1, m + 1):
         if match[j]:
@@ -143,6 +151,7 @@ _DIRECTIVE = re.compile(r"^(?:go:\w|nolint\b|lint:|noqa\b|pylint:|type:\s*ignore
 _SECTION = re.compile(r"^(?:Args|Arguments|Parameters|Params|Returns?|Raises|Yields|Throws)\s*:\s*$")
 _SECTION_RULE = re.compile(r"^-{3,}\s*$")
 _IDENTIFIER = re.compile(r"[\w$]+")
+_BLANK = re.compile(r"\s+")
 _REMARK, _BLANKS, _INLINE_TAG = re.compile(r"(?:[ \t\n]|\\\n)*#[^\n]*"), re.compile(r"(?:[ \t\n]|\\\n)*"), re.compile(r"\{@\w+\s*([^}]*)\}")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
@@ -193,8 +202,16 @@ def words_left(plain: str, name: str) -> int:
     return len(set(_WORD.findall(informative(plain).lower())) - name_parts(name) - {"inheritdoc"})
 
 
-def pairs(content: str, language: str) -> list[Pair]:
-    """Every function with its documentation text; functions without, or with a trivial one, are left out."""
+@dataclass(slots=True)
+class _Said:
+    plain: str
+    tags: set[str]
+    names: set[str]
+    words: set[str]
+
+
+def links(content: str, language: str, w: dict[str, float] = COSTS) -> list[Pair]:
+    """The assignment: every function with the comment that goes with it best, whether or not it is its documentation."""
     text = normalise(content)
     tokens, code = scan(text, language)
     found = functions(code, language)
@@ -203,16 +220,30 @@ def pairs(content: str, language: str) -> list[Pair]:
     strings = {t.start: t for t in tokens if t.kind == "string"}
     comments = _groups([t for t in tokens if t.kind != "string"], text) if language in ("go", "python") else [Comment([t], t.start, t.end, t.kind) for t in tokens if t.kind != "string"]
     starts = [c.start for c in comments]
-    # Functions and comments that share candidates form a component; each is solved on its own.
-    edges: list[tuple[int, Comment, float]] = []
-    for i, f in enumerate(found):
-        for c, cost in _candidates(f, comments, starts, strings, text, code, language):
+    declared = {f.name for f in found}
+    said: dict[int, _Said] = {}
+
+    def reading(c: Comment) -> _Said:
+        if c.start not in said:
             plain = description(c, text)
-            tags = set(_TAG_NAME.findall(plain))
-            own = set(f.params)
-            cost += 0.4 * len(tags - own) / len(tags) - 0.4 * len(tags & own) / len(tags) if tags else 0
-            cost -= 0.5 if f.name in _IDENTIFIER.findall(plain) else 0.1 * (not name_parts(f.name).isdisjoint(_WORD.findall(plain.lower())))
-            edges.append((i, c, cost))
+            said[c.start] = _Said(plain, set(_TAG_NAME.findall(plain)), declared.intersection(_IDENTIFIER.findall(plain)), set(_WORD.findall(plain.lower())))
+        return said[c.start]
+
+    # plausible links; functions and comments that share some form a component, and each is solved on its own
+    edges: list[tuple[int, Comment, float, bool]] = []
+    for i, f in enumerate(found):
+        for c, cost, right in _candidates(f, comments, starts, strings, text, code, language, w):
+            r, own = reading(c), set(f.params)
+            if r.tags:
+                cost += w["tags"] * (len(r.tags - own) - len(r.tags & own)) / len(r.tags)
+            if f.name in r.names:
+                cost -= w["names"]
+            elif r.names:
+                cost += w["names"]
+            elif not name_parts(f.name).isdisjoint(r.words):
+                cost -= 0.2 * w["names"]
+            if cost < REJECT:
+                edges.append((i, c, cost, right))
     parent: dict = {}
 
     def root(x):
@@ -221,51 +252,62 @@ def pairs(content: str, language: str) -> list[Pair]:
             x = parent[x]
         return x
 
-    for i, c, _ in edges:
+    for i, c, *_ in edges:
         parent[root(("f", i))] = root(("c", c.start))
     groups: dict = {}
     for e in edges:
         groups.setdefault(root(("f", e[0])), []).append(e)
     out: list[Pair] = []
     for group in groups.values():
-        rows = sorted({i for i, _, _ in group})
-        cols = {c.start: c for _, c, _ in group}
-        order = sorted(cols)
-        index = {s: j for j, s in enumerate(order)}
-        # one spare column each, at the rejection cost: no link is better than an implausible one
-        costs = [[3 * REJECT] * len(order) + [REJECT if a == b else 3 * REJECT for b in range(len(rows))] for a in range(len(rows))]
-        for i, c, cost in group:
-            costs[rows.index(i)][index[c.start]] = cost
-        for a, j in enumerate(assign(costs)):
-            if 0 <= j < len(order) and costs[a][j] < REJECT - 1:
-                c, f = cols[order[j]], found[rows[a]]
-                plain = description(c, text)
-                if words_left(plain, f.name) >= LEAST_WORDS:
-                    out.append(Pair(f, text[f.start : f.end], c.form, round(costs[a][j], 3), plain))
+        if len(group) == 1:
+            chosen = group
+        else:
+            rows, order = sorted({e[0] for e in group}), sorted({e[1].start for e in group})
+            row, column = {i: a for a, i in enumerate(rows)}, {x: b for b, x in enumerate(order)}
+            # one spare column for each function at the cost of rejection: no link is better than an implausible one
+            costs = np.full((len(rows), len(order) + len(rows)), 3 * REJECT)
+            costs[np.arange(len(rows)), len(order) + np.arange(len(rows))] = REJECT
+            at = {}
+            for e in group:
+                costs[row[e[0]], column[e[1].start]] = e[2]
+                at[row[e[0]], column[e[1].start]] = e
+            chosen = [at[a, j] for a, j in enumerate(assign(costs)) if (a, j) in at]
+        out += [Pair(found[i], text[found[i].start : found[i].end], c.form, round(cost, 3), right, reading(c).plain) for i, c, cost, right in chosen]
     return sorted(out, key=lambda p: p.function.at)
 
 
-OUT = "file_id bigint, line_no int, func_name string, language string, signature string, form string, doc string, cost double"
+def pairs(content: str, language: str) -> list[Pair]:
+    """Every function with its documentation text; functions without, or with a trivial one, are left out."""
+    return [p for p in links(content, language) if p.documents and words_left(p.plain, p.function.name) >= LEAST_WORDS]
+
+
+OUT = "file_id bigint, line_no int, col_no int, func_name string, mark bigint, language string, signature string, form string, doc string, cost double"
 
 
 def _files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for file_id, file, language, content in zip(b["file_id"], b["file"], b["language"], b["content"]):
+        for file_id, file, language, content, mark in zip(b["file_id"], b["file"], b["language"], b["content"], b["mark"]):
             lang = language_of(file, language)
             if content is None or lang not in ("python", "go", "java", "typescript", "javascript"):
                 continue
             text = normalise(content)
+            line, seen = 1, 0
             for p in pairs(content, lang):
-                rows.append((file_id, text.count("\n", 0, p.function.at) + 1, p.function.name, lang, re.sub(r"\s+", " ", p.text).strip(), p.form, p.plain.strip(), p.cost))
-        yield pd.DataFrame(rows, columns=["file_id", "line_no", "func_name", "language", "signature", "form", "doc", "cost"]).astype({"file_id": "int64", "line_no": "int32", "cost": "float64"})
+                at = p.function.at
+                line, seen = line + text.count("\n", seen, at), at
+                rows.append((file_id, line, at - text.rfind("\n", 0, at), p.function.name, mark, lang, _BLANK.sub(" ", p.text).strip(), p.form, p.plain.strip(), p.cost))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"file_id": "int64", "line_no": "int32", "col_no": "int32", "mark": "int64", "cost": "float64"})
 
 
 def doc_pairs(source_files: DataFrame) -> DataFrame:
-    """One row per documented function: file_id, line_no, func_name, language, signature, form, doc, cost.
+    """One row per documented function: file_id, line_no, col_no, func_name, language, signature, form, doc, cost.
 
-    Null contents, unknown languages and rows without file_id give nothing; copies of a row count once; whole texts are
-    read, whatever their length; a file that does not parse gives what could be read. Extra columns are ignored.
+    Null contents, unknown languages and rows without file_id give nothing; copies of a row count once, and where contents
+    of one file_id differ a function found at one place in several is taken from the one with the least fingerprint; whole
+    texts are read, whatever their length; a file that does not parse gives what could be read. Extra columns are ignored.
     """
-    rows = source_files.where("content is not null and file_id is not null").select("file_id", "file", "language", "content")
-    return spread(rows).mapInPandas(_files, OUT).dropDuplicates(["file_id", "line_no", "func_name"])
+    rows = source_files.where("content is not null and file_id is not null").select("file_id", "file", "language", "content", F.xxhash64("file", "language", "content").alias("mark"))
+    keys = ["file_id", "line_no", "col_no", "func_name"]
+    rest = ["language", "signature", "form", "doc", "cost"]
+    return spread(rows).mapInPandas(_files, OUT).groupBy(*keys).agg(F.min_by(F.struct(*rest), "mark").alias("r")).select(*keys, "r.*")

@@ -14,7 +14,7 @@ from codeweft.runtime import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return doc_pairs(table(spark, d, "source_files")).select("file_id", "line_no", "func_name")
+    return doc_pairs(table(spark, d, "source_files")).select("file_id", "line_no", "func_name").distinct()
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 from codeweft.functions.lexing import scan
 from codeweft.llm import code_provenance as cp
-from codeweft.llm.doc_pairs import assign, doc_pairs, informative, pairs, words_left
+from codeweft.llm.doc_pairs import COSTS, assign, doc_pairs, informative, links, pairs, words_left
 
 FILES = "file_id bigint, repo_path string, file string, language string, content string, line_no string"
 
@@ -183,6 +183,30 @@ const quick = (a) => a + 1;
     assert found(src, "typescript") == [(3, "first"), (5, "nested"), (12, "arrow"), (16, "given"), (22, "method"), (24, "plain"), (31, "quick")]
 
 
+def linked(src, language, **costs):
+    return {p.function.name: p.plain.split("\n")[0] for p in links(src, language, {**COSTS, **costs})}
+
+
+def test_names_tags_and_distance_choose_among_plausible_comments():
+    # two comments above one function: the one that names it and its parameter wins over the nearer one
+    src = "/** Remarks on the part below. */\n/* @param depot the depot that openTable reads */\nfunction openTable(depot) {}\n"
+    assert linked(src, "javascript")["openTable"].startswith("@param") and linked(src, "javascript", names=0, tags=0, place=0)["openTable"].startswith("@param")
+    far = "/* openTable(depot) is described here */\n\n\n\n/* Remarks on the part below. */\nfunction openTable(depot) {}\n"
+    assert linked(far, "javascript")["openTable"].startswith("Remarks") and linked(far, "javascript", line=0)["openTable"].startswith("openTable")
+    # one comment between two functions goes to the one it names; foreign code in between keeps it from the other
+    both = "def first(): pass\n# second reads the depot\ndef second(): pass\ndef third(): pass\n"
+    assert linked(both, "python") == {"second": "second reads the depot"}
+    # links that are plausible but no documentation by the language's rules are not given out
+    assert pairs(both, "python") == [] and [p.documents for p in links(both, "python")] == [False]
+
+
+def test_same_name_twice_on_a_line(spark):
+    src = "class A { /** Opens one table per depot. */ f(a) {} } class B { /** Opens one depot per table. */ f(b) {} }\n"
+    rows = [(1, "r", "a.js", None, src, "x"), (1, "r", "a.js", None, src, "x")]
+    got = doc_pairs(spark.createDataFrame(rows, FILES)).collect()
+    assert sorted((r.line_no, r.col_no, r.func_name) for r in got) == [(1, src.index("f(a)") + 1, "f"), (1, src.index("f(b)") + 1, "f")]
+
+
 def test_triviality():
     assert words_left("Collects the table.", "collectTable") == 2 + 1 - 1  # collects, the
     assert words_left("Finds which graph owns the snapshot.", "label") == 6
