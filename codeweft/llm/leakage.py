@@ -2,14 +2,15 @@
 
 The items' words form one automaton: every path from its root is a run of words of some item. A document streams
 through it word by word; the automaton always knows the longest run ending here that some item holds. Where that length
-reaches the limit, the state names the items. Item tables are small and fixed; beyond ``SHARD`` words they are cut into
-several automata, each of bounded size, and documents pass each.
+reaches the limit, the state names the items. Items of more than ``SHARD`` words together are cut into several automata;
+they are made one after the other from a stream of items, each is broadcast by itself, and the documents pass each in a
+stage of its own, so neither the driver nor a task ever holds more than one. What the stages find is merged by document.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,8 @@ from codeweft.runtime import spread
 LEAST_RUN = 12
 #: Share of a document's words in leaked spans from which the whole document is dropped.
 DROP_SHARE = 0.5
-#: Words in one automaton, which is what goes to each executor at once: about 100 bytes a word.
-SHARD = 200_000
+#: Words in one automaton, which is what goes to an executor at once. Measured: 381 bytes a word in memory, so 38 MB.
+SHARD = 100_000
 
 WORD = re.compile(r"[A-Za-z0-9]+", re.ASCII)
 
@@ -37,6 +38,7 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
         self.items: list[set[int]] = [set()]
+        self._ends: list[tuple[int, list[int]]] = []
 
     def _state(self, length: int) -> int:
         self.next.append({})
@@ -77,7 +79,6 @@ class SuffixAutomaton:
         state = 0
         for x in words:
             state = self._extend(state, self.words.setdefault(x, len(self.words)))
-        self._ends = getattr(self, "_ends", [])
         self._ends.append((item, [self.words[x] for x in words]))
 
     def seal(self) -> SuffixAutomaton:
@@ -120,101 +121,162 @@ class SuffixAutomaton:
                 yield k, run, state
 
 
-def build(items: list[tuple[int, str]], least: int = LEAST_RUN) -> list[SuffixAutomaton]:
-    """Automata over items, each of at most ``SHARD`` words (one item more where it alone is longer)."""
-    out: list[SuffixAutomaton] = []
-    room = 0
+def build(items: Iterable[tuple[int, str]], least: int = LEAST_RUN) -> Iterator[SuffixAutomaton]:
+    """Automata over items one by one, each of at most ``SHARD`` words (one item more where it alone is longer)."""
+    current, room = None, 0
     for item, text in items:
         words = [x.lower() for x in WORD.findall(text or "")]
         if len(words) < least:
             continue
-        if not out or room < len(words):
-            out.append(SuffixAutomaton(least))
-            room = SHARD
-        out[-1].add(item, words)
+        if current is None or room < len(words):
+            if current is not None:
+                yield current.seal()
+            current, room = SuffixAutomaton(least), SHARD
+        current.add(item, words)
         room -= len(words)
-    return [a.seal() for a in out]
+    if current is not None:
+        yield current.seal()
 
 
-OUT = "doc_id bigint, n_words int, leaked_words int, items array<struct<item_id:bigint,longest:int,start_char:int,end_char:int>>"
-CLEAN = "doc_id string, n_words int, leaked_words int, dropped boolean, text string"
+FOUND = "n_words int, spans array<struct<s:int,e:int>>, items array<struct<item_id:bigint,longest:int,start_char:int,end_char:int>>"
 
 
-def _runs(text: str, automata: list[SuffixAutomaton]) -> tuple[list[re.Match], dict[int, tuple[int, int, int]], np.ndarray]:
-    """Words of a text, per item its longest run (length, first word, last word), and which words are leaked."""
+def found(text: str, automaton: SuffixAutomaton) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+    """(number of words, character spans that are leaked, for each item its longest run and where it stands)."""
     at = list(WORD.finditer(text))
-    words = [m.group().lower() for m in at]
-    hit, best = np.zeros(len(words) + 1, np.int32), {}
-    for a in automata:
-        for k, run, state in a.spans(words):
-            hit[k - run + 1] += 1
-            hit[k + 1] -= 1
-            for i, held in a.holders(state, run):
-                if i not in best or held > best[i][0]:
-                    best[i] = (held, k - held + 1, k)
-    return at, best, np.cumsum(hit[:-1]) > 0
-
-
-def _matching(automata):
+    best: dict[int, tuple[int, int, int]] = {}
+    spans: list[tuple[int, int]] = []
+    for k, run, state in automaton.spans([m.group().lower() for m in at]):
+        first = k - run + 1
+        while spans and spans[-1][1] >= first - 1:  # ends only grow; a longer run swallows what lies in it
+            first = min(first, spans.pop()[0])
+        spans.append((first, k))
+        for i, held in automaton.holders(state, run):
+            if i not in best or held > best[i][0]:
+                best[i] = (held, k - held + 1, k)
+    return len(at), [(at[s].start(), at[e].end()) for s, e in spans], [(i, r, at[s].start(), at[e].end()) for i, (r, s, e) in sorted(best.items())]
+
+
+def _matching(automaton, keys: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                at, best, leaked = _runs(text, automata.value)
-                if best:
-                    rows.append((doc, len(at), int(leaked.sum()), [{"item_id": i, "longest": r, "start_char": at[s].start(), "end_char": at[e].end()} for i, (r, s, e) in sorted(best.items())]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "leaked_words", "items"]).astype({"doc_id": "int64", "n_words": "int32", "leaked_words": "int32"})
+            for *key, text in zip(*[b[k] for k in keys], b["text"]):
+                n, spans, items = found(text, automaton.value)
+                if items:
+                    rows.append((*key, n, [{"s": s, "e": e} for s, e in spans], [dict(zip(("item_id", "longest", "start_char", "end_char"), x)) for x in items]))
+            yield pd.DataFrame(rows, columns=[*keys, "n_words", "spans", "items"]).astype({"n_words": "int32"} | ({"doc_id": "int64"} if "doc_id" in keys else {}))
 
     return run
 
 
-def _cleaning(automata, drop_share: float):
+def merge_spans(spans: list) -> list[tuple[int, int]]:
+    """Character spans as disjoint ones in order."""
+    out: list[list[int]] = []
+    for x in sorted((x["s"], x["e"]) for x in spans):
+        if out and x[0] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], x[1])
+        else:
+            out.append(list(x))
+    return [tuple(x) for x in out]
+
+
+def cut_out(text: str | None, spans: list | None, drop_share: float) -> tuple[int, int, bool, str | None]:
+    """(words, leaked words, dropped, text without the spans)."""
+    if text is None:
+        return 0, 0, False, None
+    n = sum(1 for _ in WORD.finditer(text))
+    if spans is None or not len(spans):
+        return n, 0, False, text
+    parts, last, leaked = [], 0, 0
+    for s, e in merge_spans(spans):
+        parts.append(text[last:s])
+        leaked += sum(1 for _ in WORD.finditer(text, s, e))
+        last = e
+    dropped = leaked / n > drop_share
+    return n, leaked, dropped, None if dropped else "".join([*parts, text[last:]])
+
+
+CLEAN = "doc_id string, n_words int, leaked_words int, dropped boolean, text string"
+
+
+def _cleaning(automaton, drop_share: float):
+    """With one automaton texts are matched and cut in one go; without, their spans come in a column."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                if text is None:
-                    rows.append((doc, 0, 0, False, None))
-                    continue
-                at, _, leaked = _runs(text, automata.value)
-                n = int(leaked.sum())
-                dropped = bool(at) and n / len(at) > drop_share
-                if n and not dropped:
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], leaked.view(np.int8), [0]))))
-                    parts, last = [], 0
-                    for s, e in zip(edges[::2], edges[1::2]):
-                        parts.append(text[last : at[s].start()])
-                        last = at[e - 1].end()
-                    text = "".join([*parts, text[last:]])
-                rows.append((doc, len(at), n, dropped, None if dropped else text))
+            if automaton is not None:
+                spans = [None if t is None else [{"s": s, "e": e} for s, e in found(t, automaton.value)[1]] for t in b["text"]]
+            else:
+                spans = b["spans"]
+            rows = [(doc, *cut_out(t, x, drop_share)) for doc, t, x in zip(b["doc_id"], b["text"], spans)]
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "leaked_words", "dropped", "text"]).astype({"n_words": "int32", "leaked_words": "int32", "dropped": bool, "text": object})
 
     return run
 
 
-def _automata(eval_items: DataFrame, least: int):
-    """Items go to the driver: a held-out set is small and does not grow with the corpus."""
-    rows = eval_items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct().orderBy("item_id", "text").collect()
-    return eval_items.sparkSession.sparkContext.broadcast(build([(r.item_id, r.text) for r in rows], least))
+def _automata(eval_items: DataFrame, least: int) -> list:
+    """Broadcast automata. Items come to the driver as a stream, one of its automata at a time."""
+    rows = eval_items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct().orderBy("item_id", "text")
+    context, out = eval_items.sparkSession.sparkContext, []
+    for a in build(((r.item_id, r.text) for r in rows.toLocalIterator()), least):
+        b = context.broadcast(a)
+        b.unpersist()  # the driver keeps the pickled form on disk, executors fetch it when their stage runs
+        out.append(b)
+    return out or [context.broadcast(SuffixAutomaton(least).seal())]
+
+
+def _all_found(rows: DataFrame, keys: list[str], automata: list) -> DataFrame:
+    """(keys, n_words, spans, items) of affected rows. One automaton: no shuffle; more: only what was found is merged."""
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", " + FOUND
+    parts = [spread(rows).mapInPandas(_matching(a, keys), schema) for a in automata]
+    if len(parts) == 1:
+        return parts[0]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    # a row that is there twice brings the same spans and items again
+    return out.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST_RUN) -> DataFrame:
     """Affected documents: doc_id, n_words, leaked_words, items (item, longest run seen, where it stands).
 
     Null or empty texts and ids, and items shorter than ``least`` words, give nothing; whole texts are read; a row that
-    is there twice counts once. The documents never move: there is no shuffle.
+    is there twice counts once. The documents never move, only what is found in them does.
     """
+
+    @F.pandas_udf("int")
+    def leaked(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cut_out(t, s, 1.0)[1] for t, s in zip(text, spans)], dtype="int32")
+
+    # affected texts go along, since spans of several automata overlap
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    return spread(docs).mapInPandas(_matching(_automata(eval_items, least)), OUT)
+    automata = _automata(eval_items, least)
+    return _all_found(docs, ["doc_id", "text"], automata).select("doc_id", "n_words", leaked("text", "spans").alias("leaked_words"), "items").distinct()
 
 
 def leak_pairs(documents: DataFrame, eval_items: DataFrame, least: int = LEAST_RUN) -> DataFrame:
     """(doc_id, item_id), each once."""
-    return leaks(documents, eval_items, least).select("doc_id", F.explode("items.item_id").alias("item_id")).distinct()
+    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    automata = _automata(eval_items, least)
+    found_in = [spread(docs).mapInPandas(_matching(a, ["doc_id"]), "doc_id bigint, " + FOUND).select("doc_id", F.explode("items.item_id").alias("item_id")) for a in automata]
+    out = found_in[0]
+    for p in found_in[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
 
 
 def remove_leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST_RUN, drop_share: float = DROP_SHARE) -> DataFrame:
     """Every document row with its leaked spans cut out; ``dropped`` and a null text where they exceed ``drop_share``."""
+    automata = _automata(eval_items, least)
     # as text, since a batch with a null would turn whole numbers into floating ones
-    rows = spread(documents.select(F.col("doc_id").cast("string"), "text"))
-    return rows.mapInPandas(_cleaning(_automata(eval_items, least), drop_share), CLEAN).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = documents.select(F.col("doc_id").cast("string"), "text")
+    if len(automata) == 1:
+        clean = spread(rows).mapInPandas(_cleaning(automata[0], drop_share), CLEAN)
+    else:
+        # spans are found for each text and joined back to the rows that hold it
+        keyed = rows.withColumn("key", F.sha2("text", 256))
+        spans = _all_found(keyed.where("text is not null").select("key", "text"), ["key"], automata).select(F.col("key").alias("_k"), "spans")
+        clean = keyed.join(spans, F.col("key") == F.col("_k"), "left").select("doc_id", "text", "spans").mapInPandas(_cleaning(None, drop_share), CLEAN)
+    return clean.withColumn("doc_id", F.col("doc_id").cast("bigint"))

@@ -32,25 +32,49 @@ def brute(docs, items, least):
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), min_size=1, max_size=5), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(2, 5))
 def test_automaton_equals_brute_force(items, doc, least):
     named = [(k, " ".join(x)) for k, x in enumerate(items)]
-    _, best, leaked = leakage._runs(" ".join(doc), build(named, least))
-    assert {(0, i) for i in best} == brute([(0, " ".join(doc))], named, least)
-    for i, (run, s, e) in best.items():
-        assert e - s + 1 == run and " ".join(doc[s : e + 1]) in named[i][1]
+    text = " ".join(doc)
+    made = list(build(named, least))
+    _, spans, best = leakage.found(text, made[0]) if made else (0, [], [])
+    assert {(0, i) for i, *_ in best} == brute([(0, text)], named, least)
+    for i, run, s, e in best:
+        assert len(text[s:e].split()) == run and text[s:e] in named[i][1]
         longest = max(n for n in range(least, len(doc) + 1) for k in range(len(doc) - n + 1) if f" {' '.join(doc[k : k + n])} " in f" {named[i][1]} ")
         assert run == longest
     covered = set()
     for k in range(len(doc) - least + 1):
         if any(f" {' '.join(doc[k : k + least])} " in f" {t} " for _, t in named):
             covered |= set(range(k, k + least))
-    assert {k for k, x in enumerate(leaked) if x} == covered
+    assert {k for s, e in spans for k in range(s // 2, (e + 1) // 2)} == covered
+    assert leakage.merge_spans([{"s": s, "e": e} for s, e in spans]) == spans
+    assert leakage.cut_out(text, [{"s": s, "e": e} for s, e in spans], 1.0)[:2] == (len(doc), len(covered))
 
 
 def test_items_are_cut_into_bounded_automata(monkeypatch):
     monkeypatch.setattr(leakage, "SHARD", 20)
     items = [(k, " ".join(f"w{k}x{j}" for j in range(15))) for k in range(4)]
-    automata = build(items, 12)
+    automata = list(build(items, 12))
     assert len(automata) == 4
-    assert set(leakage._runs(items[2][1].upper(), automata)[1]) == {2}
+    assert [[i for i, *_ in leakage.found(items[2][1].upper(), a)[2]] for a in automata] == [[], [], [2], []]
+
+
+def test_several_automata_give_what_one_gives(spark, monkeypatch):
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(9)]
+    items = [(k, " ".join(rnd.choices(words, k=14))) for k in range(12)]
+    docs = [(k, " ".join(rnd.choices(words, k=6) + items[k % 12][1].split()[: 3 + k % 12] + items[(k * 5 + 1) % 12][1].split()[2:] + rnd.choices(words, k=5)), None, "x") for k in range(40)]
+    docs += [(0, docs[0][1], None, "x"), (None, docs[1][1], None, "x"), (90, None, None, "x"), (91, "", None, "x")]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")
+
+    def all_of():
+        return (
+            sorted(map(tuple, leak_pairs(d, i, 5).collect())),
+            sorted((r.doc_id, r.n_words, r.leaked_words, [x[:2] for x in r["items"]]) for r in leaks(d, i, 5).collect()),
+            sorted(map(tuple, remove_leaks(d, i, 5).collect()), key=str),
+        )
+
+    one = all_of()
+    monkeypatch.setattr(leakage, "SHARD", 40)
+    assert len(leakage._automata(i, 5)) == 6 and all_of() == one and len(one[2]) == len(docs)
 
 
 def test_leaks_and_cleaning(spark):
