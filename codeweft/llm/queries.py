@@ -9,7 +9,7 @@ from codeweft.llm.code_provenance import code_provenance
 from codeweft.llm.doc_pairs import doc_pairs
 from codeweft.llm.leakage import leak_pairs, leaks, remove_leaks
 from codeweft.llm.mixing import mix, shares
-from codeweft.llm.text_quality import text_quality
+from codeweft.llm.text_quality import prose_verdicts, text_quality
 from codeweft.runtime import table
 
 
@@ -53,7 +53,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return text_quality(table(spark, d, "documents")).where("not is_prose").select("doc_id").distinct()
+    return prose_verdicts(table(spark, d, "documents")).where("not is_prose").select("doc_id").distinct()
 
 
 def p9_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Leaks, mixing and text statistics: against brute force, on empty, null, long and repeated texts."""
 
 import random
+import re
+import signal
+from contextlib import contextmanager
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +12,7 @@ from hypothesis import strategies as st
 from codeweft.llm import leakage
 from codeweft.llm.leakage import WORD, build, leak_pairs, leaks, remove_leaks
 from codeweft.llm.mixing import LEAST_WEIGHT, TOKENIZER, canonical_source, mix, plan, quality_weight, shares, sized
-from codeweft.llm.text_quality import STATS, WEIGHTS, autocorrelation, prose_share, statistics, text_quality
+from codeweft.llm.text_quality import STATS, WEIGHTS, _line, autocorrelation, prose_share, prose_verdicts, statistics, text_quality
 
 DOCS = "doc_id bigint, text string, source string, tokens string"
 
@@ -142,6 +145,51 @@ def test_autocorrelation_finds_long_periods():
     assert autocorrelation(np.ones(9)) == 1.0 and autocorrelation(np.array([1.0, 2.0])) == 0.0
 
 
+@contextmanager
+def within(seconds):
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+@pytest.mark.parametrize("text", [
+    "Most questions about the column come from people who have not read the page on sessions, which is short.", "a" * 50 + "-", "abc " * 5_000 + "*", "a1." * 20_000 + "_", "x" + " " * 50_000 + "\tx",
+    "a" + "\"" * 50_000 + "x", "a" + ".!" * 30_000 + "x", "a" + ".)" * 30_000 + "x", "-" * 50_000, "ü" * 50_000 + "-",
+])
+def test_time_grows_with_length_only(text):
+    with within(10):
+        statistics(text)
+        quality_weight(text)
+
+
+MARKS = re.compile(r"[^\w\s'\"’“”„«»¿¡…!?.,-]|_|(?<=\w)[.,](?=\w)|,|(?<![^\W_])-|-(?![^\W_])| {2,}(?=\S)|\t")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("ab9 _-.,'’!|:\t\x1c\xa0éЖ中।½"), max_size=30))
+def test_marks_of_a_line(x):
+    x = x.rstrip()
+    if x:
+        assert _line(x).marks == [(" " if m.group()[0] == " " else m.group(), m.end()) for m in MARKS.finditer(x, len(x) - len(x.lstrip()))]
+
+
+def test_a_dot_inside_a_name_is_a_mark():
+    assert _line("main.go").marks == [(".", 5)] and _line("one two 3. Four!").marks == []
+
+
+def test_verdicts_are_those_of_the_statistics(spark):
+    rows = [(1, PROSE, None, "x"), (1, PROSE, None, "x"), (2, None, None, "x"), (None, PROSE, None, "x"), (3, RECORDS, None, "x"), (4, PROSE + "\n\n" + RECORDS, None, "x"), (5, " ", None, "x")]
+    d = spark.createDataFrame(rows, DOCS)
+    assert sorted(map(tuple, prose_verdicts(d).collect())) == sorted(map(tuple, text_quality(d).select("doc_id", "prose_share", "is_prose").collect()))
+
+
 def test_quality_weight():
     table = "| a | b | count |\n|---|---|---:|\n" + "\n".join(f"| row{k} | local | {k * 37} |" for k in range(12))
     assert quality_weight(PROSE) == 1.0 and quality_weight(table) == quality_weight(None) == LEAST_WEIGHT
