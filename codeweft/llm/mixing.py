@@ -8,7 +8,9 @@ partitions' totals, so a source holding most documents is spread like any other.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +23,10 @@ from codeweft.runtime import cut, shuffle_partitions, spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Weight of a document without running text; one that is all running text has 1.
 LEAST_WEIGHT = 0.1
+#: The pieces into which a byte-level tokenizer cuts a text in ASCII; merges stay inside a piece, so it has as many tokens wherever it stands.
+_PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: Characters taken at once, pieces kept at once, and the characters for each new piece below which whole texts cost less.
+CHUNK, KEPT, FEW = 1 << 18, 200_000, 20
 
 
 def canonical_source(c: Column | str) -> Column:
@@ -28,21 +34,61 @@ def canonical_source(c: Column | str) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.lower(F.trim(F.col(c) if isinstance(c, str) else c)), r"[^\p{L}\p{N}]+", "_"), F.lit("_")), F.lit(""))
 
 
-def _size(tokenizer):
-    """Tokens and quality of each text, both from the one time it is read."""
+def by_pieces(tokenizer: bytes) -> bool:
+    """Whether a tokenizer file cuts texts as ``_PIECE`` does and nothing before or after changes them."""
+    t = json.loads(tokenizer)
+    cuts = t.get("pre_tokenizer") or {}
+    return (
+        cuts.get("type") == "ByteLevel" and not cuts.get("add_prefix_space") and cuts.get("use_regex", True) and t["model"].get("type") == "BPE" and not t["model"].get("dropout")
+        and not any(t.get(k) for k in ("normalizer", "truncation", "padding")) and all(x["special"] for x in t.get("added_tokens") or ())
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+class TokenCounter:
+    """Tokens of texts. With ``pieces``, a piece met before is not tokenized again; other than ASCII goes to the tokenizer whole."""
+
+    def __init__(self, tokenizer: bytes, pieces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_buffer(tokenizer.value)
-        t.encode_special_tokens = True
+        self.tokenizer, self.pieces, self.known = Tokenizer.from_buffer(tokenizer), pieces, {}
+        self.tokenizer.encode_special_tokens = True
+
+    def encoded(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+
+    def _chunk(self, texts: list[str]) -> list[int]:
+        cuts = [_PIECE.findall(x) if self.pieces and x.isascii() else None for x in texts]
+        own = set().union(*filter(None, cuts))
+        new = list(own.difference(self.known))
+        if len(new) * FEW > sum(map(len, texts)):
+            return self.encoded(texts)
+        if len(self.known) + len(new) > KEPT:
+            self.known.clear()
+            new = list(own)
+        self.known.update(zip(new, self.encoded(new)))
+        rest = iter(self.encoded([x for x, c in zip(texts, cuts) if c is None]))
+        return [next(rest) if c is None else sum(map(self.known.__getitem__, c)) for c in cuts]
+
+    def count(self, texts: list[str]) -> list[int]:
+        out: list[int] = []
+        begin = held = 0
+        for k, x in enumerate(texts, 1):
+            held += len(x)
+            if held >= CHUNK or k == len(texts):
+                out += self._chunk(texts[begin:k])
+                begin, held = k, 0
+        return out
+
+
+def _size(tokenizer, pieces: bool):
+    """Tokens and quality of each text, both from the one time it is read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = TokenCounter(tokenizer.value, pieces)
         for b in batches:
             texts = [x or "" for x in b["text"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"], "source": b["source"], "mark": b["mark"],
-                "tokens": [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)], "weight": [quality_weight(x) for x in texts],
-            })
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "mark": b["mark"], "tokens": counter.count(texts), "weight": [quality_weight(x) for x in texts]})
 
     return run
 
@@ -58,12 +104,13 @@ def sized(documents: DataFrame, tokenizer_path: str = TOKENIZER, seed: int = 42)
     Where rows of one doc_id differ, the one with the least fingerprint of source and text stands.
     """
     with open(tokenizer_path, "rb") as f:
-        tokenizer = documents.sparkSession.sparkContext.broadcast(f.read())
+        held = f.read()
+    tokenizer = documents.sparkSession.sparkContext.broadcast(held)
     source = canonical_source(F.col("source"))
     rows = documents.where(F.col("doc_id").isNotNull() & source.isNotNull()).select("doc_id", source.alias("source"), "text", F.xxhash64(source, "text").alias("mark"))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(2**53)
     return (
-        spread(rows).mapInPandas(_size(tokenizer), "doc_id bigint, source string, mark bigint, tokens bigint, weight double")
+        spread(rows).mapInPandas(_size(tokenizer, by_pieces(held)), "doc_id bigint, source string, mark bigint, tokens bigint, weight double")
         .where("tokens > 0")
         .groupBy("doc_id").agg(*[F.min_by(c, "mark").alias(c) for c in ("source", "tokens", "weight")])
         .select("doc_id", "source", "tokens", "weight", (-F.log(u) / F.col("weight")).alias("key"))

@@ -1,5 +1,6 @@
 """Leaks, mixing and text statistics: against brute force, on empty, null, long and repeated texts."""
 
+import json
 import random
 import re
 import signal
@@ -9,9 +10,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codeweft.llm import leakage
+from codeweft.llm import leakage, mixing
 from codeweft.llm.leakage import WORD, build, leak_pairs, leaks, remove_leaks
-from codeweft.llm.mixing import LEAST_WEIGHT, TOKENIZER, canonical_source, mix, plan, quality_weight, shares, sized
+from codeweft.llm.mixing import LEAST_WEIGHT, TOKENIZER, TokenCounter, by_pieces, canonical_source, mix, plan, quality_weight, shares, sized
 from codeweft.llm.text_quality import STATS, WEIGHTS, _line, autocorrelation, prose_share, prose_verdicts, statistics, text_quality
 
 DOCS = "doc_id bigint, text string, source string, tokens string"
@@ -247,3 +248,33 @@ def test_tokens_and_sources(spark):
     assert got.tokens == len(t.encode(text, add_special_tokens=False).ids) and got.source == "design_note"
     c = spark.createDataFrame([("Issue-Thread ",), ("_a__b_",), (" - ",)], "s string").select(canonical_source("s").alias("s"))
     assert [r.s for r in c.collect()] == ["issue_thread", "a_b", None]
+
+
+def test_counts_by_pieces_are_the_tokenizers(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    with open(TOKENIZER, "rb") as f:
+        held = f.read()
+    t = tokenizers.Tokenizer.from_buffer(held)
+    t.encode_special_tokens = True
+    rnd = random.Random(4)
+    signs = [*map(chr, range(128)), *"  \n\n\t'stmdrevel  aZ09" * 4]
+    texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 40))) for _ in range(3000)] + ["", "don't I'LL we'll 'sx", "a <|endoftext|>b", "Naïve  中 x", "　 x", "abc" * 9000, " " * 9000 + "\n x"]
+    want = [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert by_pieces(held) and TokenCounter(held, False).count(texts) == want
+    for chunk, kept, few in ((1 << 18, 200_000, 0), (50, 200_000, 0), (500, 60, 0), (500, 200_000, 20), (1, 5, 3)):
+        for name, value in (("CHUNK", chunk), ("KEPT", kept), ("FEW", few)):
+            monkeypatch.setattr(mixing, name, value)
+        counter = TokenCounter(held, True)
+        assert counter.count(texts) == want and counter.count(texts[::-1]) == want[::-1] and counter.count([]) == []
+    told = json.loads(held)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"added_tokens": [{"id": 0, "content": "ab", "special": False}]}, {"truncation": {"max_length": 8}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        assert not by_pieces(json.dumps(told | change).encode())
+
+
+def test_known_pieces_are_not_tokenized_again():
+    pytest.importorskip("tokenizers")
+    with open(TOKENIZER, "rb") as f:
+        counter = TokenCounter(f.read(), True)
+    texts = [PROSE * 40] * 20
+    want, counter.tokenizer = counter.count(texts), None
+    assert counter.count(texts) == want and len(counter.known) < 60
