@@ -25,8 +25,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 LEAST_WEIGHT = 0.1
 #: The pieces into which a byte-level tokenizer cuts a text in ASCII; merges stay inside a piece, so it has as many tokens wherever it stands.
 _PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-#: Characters taken at once, pieces kept at once, and the characters for each new piece below which whole texts cost less.
-CHUNK, KEPT, FEW = 1 << 18, 200_000, 20
+#: Characters taken at once, pieces kept at once and their greatest length, and the characters for each new piece below which whole texts cost less.
+CHUNK, KEPT, LONG, FEW = 1 << 18, 200_000, 64, 20
 
 
 def canonical_source(c: Column | str) -> Column:
@@ -68,7 +68,11 @@ class TokenCounter:
             new = list(own)
         self.known.update(zip(new, self.encoded(new)))
         rest = iter(self.encoded([x for x, c in zip(texts, cuts) if c is None]))
-        return [next(rest) if c is None else sum(map(self.known.__getitem__, c)) for c in cuts]
+        out = [next(rest) if c is None else sum(map(self.known.__getitem__, c)) for c in cuts]
+        for x in new:
+            if len(x) > LONG:
+                del self.known[x]
+        return out
 
     def count(self, texts: list[str]) -> list[int]:
         out: list[int] = []

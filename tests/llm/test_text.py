@@ -278,3 +278,12 @@ def test_known_pieces_are_not_tokenized_again():
     texts = [PROSE * 40] * 20
     want, counter.tokenizer = counter.count(texts), None
     assert counter.count(texts) == want and len(counter.known) < 60
+
+
+def test_long_pieces_are_not_kept():
+    pytest.importorskip("tokenizers")
+    with open(TOKENIZER, "rb") as f:
+        counter = TokenCounter(f.read(), True)
+    texts = [f"{PROSE} {c * 5000} {PROSE}" for c in "abc"]
+    want = counter.encoded(texts)
+    assert counter.count(texts) == want == counter.count(texts) and max(map(len, counter.known)) <= mixing.LONG
